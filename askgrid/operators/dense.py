@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from askgrid.operators.lexical import TOP_K
 from askgrid.operators.sizing import top_per_group
+from askgrid.session import cut_lineage
 
 DIMENSION = 256
 # Query vectors reach the tasks as one matrix of at most this many bytes; more queries
@@ -122,7 +123,7 @@ def _search_slice(vectors: DataFrame, queries: pa.Table, k: int, cosine: bool,
 def _search(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool, threshold: float | None,
             value: str, carry: Sequence[str]) -> DataFrame:
     """Every task keeps its k best rows per query; only those are shuffled and ranked."""
-    queries = queries.select("query_id", "vector").persist()
+    queries = cut_lineage(queries.select("query_id", "vector"))
     n, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
     passes = max(1, -(-n * (dim or 1) * 8 // MAX_QUERY_BYTES))
     parts = []

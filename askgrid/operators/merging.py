@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.operators.sizing import broadcast_if_small, top_per_group
+from askgrid.session import cut_lineage
 
 # Fixed value: share of a parent's children that must be exceeded.
 MERGE_RATIO = 0.2
@@ -38,7 +39,7 @@ def merge_ratio(hits: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     Hits may carry parent_id and n_siblings from the index; else both are looked up.
     """
     if "parent_id" not in hits.columns:
-        hits = with_parents(hits, nodes).persist()
+        hits = cut_lineage(with_parents(hits, nodes))
     known = "n_siblings" in hits.columns
     groups = hits.filter(F.col("parent_id").isNotNull()).groupBy("query_id", "parent_id").agg(
         F.count("*").alias("n_hit"),

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from askgrid.functions.text import ENGLISH_STOP_WORDS
 from askgrid.operators.lexical import LexicalIndex, idf, query_terms
 from askgrid.operators.sizing import broadcast_if_small, top_per_group
+from askgrid.session import cut_lineage
 
 # Pairs per scoring call and longest text, in model tokens.
 BATCH_SIZE = 32
@@ -81,9 +82,8 @@ def keyword_subqueries(index: LexicalIndex, questions: DataFrame, n: int = 8,
                        stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """Key terms of each question, rarest in the corpus first, joined by commas:
     (question_idx, subquery). Terms the corpus does not hold are left out."""
-    terms = query_terms(
-        questions.select(F.col("question_idx").alias("query_id"), F.col("question").alias("text")), stop_words
-    ).persist()
+    terms = cut_lineage(query_terms(
+        questions.select(F.col("question_idx").alias("query_id"), F.col("question").alias("text")), stop_words))
     vocabulary = broadcast_if_small(terms.select("term").distinct())
     frequency = index.postings.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(frequency, "term").withColumn("w", F.round(idf(F.col("df"), index.n_nodes), 6))

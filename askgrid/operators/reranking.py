@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from askgrid.functions.text import ENGLISH_STOP_WORDS, tokenize_terms
 from askgrid.operators.sizing import broadcast_if_small, top_per_group
+from askgrid.session import cut_lineage
 
 # Contexts kept per question, candidates before and after reranking.
 CONTEXTS_KEPT = 5
@@ -32,9 +33,9 @@ def cosine_scores(pairs: DataFrame, questions: DataFrame, postings: DataFrame,
     """Default scorer: cosine of the term counts of question and context, added to pairs
     (question_idx, node_id, ..) as ``score``. Counts come from the term table, of which
     only the rows of the candidate nodes are read on; 0 where no term is shared."""
-    wanted = pairs.select("question_idx", "node_id").distinct().persist()
+    wanted = cut_lineage(pairs.select("question_idx", "node_id").distinct())
     nodes = broadcast_if_small(wanted.select("node_id").distinct())
-    terms = postings.join(nodes, "node_id", "left_semi").select("node_id", "term", "tf").persist()
+    terms = cut_lineage(postings.join(nodes, "node_id", "left_semi").select("node_id", "term", "tf"))
     norms = terms.groupBy("node_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dnorm"))
     asked = wanted.join(question_vectors(questions, stop_words), "question_idx")
     scores = (

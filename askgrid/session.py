@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "askgrid", master: str | None = None,
+def build_session(app: str = "askgrid", master: str | None = None, memory: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the jobs are written for."""
     builder = (
@@ -22,6 +22,8 @@ def build_session(app: str = "askgrid", master: str | None = None,
     )
     if master:
         builder = builder.master(master)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
