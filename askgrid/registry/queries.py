@@ -233,8 +233,7 @@ def sink_upsert_response(t: Tables) -> DataFrame:
 @query
 def proj_drop_positional(t: Tables) -> DataFrame:
     numbered = t.lineitem.withColumn("row_no", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    kept = questionnaire.drop_positional(numbered)
-    return kept.withColumns({c: F.col(c).cast("string") for c in kept.columns if kept.schema[c].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")})
+    return questionnaire.drop_positional(numbered).withColumn("l_shipdate", text.format_ts("l_shipdate"))
 
 
 @query
