@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
@@ -23,31 +23,43 @@ MAX_QUERY_BYTES = 64 << 20
 
 def vector_dimension(vectors: DataFrame) -> DataFrame:
     """Smallest and largest vector length; both must agree before vectors are searched."""
-    length = F.size("vector")
+    length = vector_length(F.col("vector"), is_sparse(vectors))
     return vectors.agg(
         F.min(length).alias("min_dim"), F.max(length).alias("max_dim"), F.count("*").alias("n_vectors"),
     ).withColumn("is_constant", F.col("min_dim") == F.col("max_dim"))
 
 
 def hashed_vectors(postings: DataFrame, dim: int = DIMENSION, keep: Sequence[str] = ()) -> DataFrame:
-    """Default text vectors: term counts hashed into ``dim`` buckets, scaled to length 1.
-    Stays inside the placement by node_id, so nothing is shuffled. A text without terms
-    has no vector."""
+    """Default text vectors: term counts hashed into ``dim`` buckets, scaled to length 1, as
+    struct (dim, at, x) of the buckets in use. Stays inside the placement by node_id, so
+    nothing is shuffled. A text without terms has no vector."""
     bucket = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dim).cast("int")
     counts = postings.groupBy("node_id", *keep, bucket.alias("bucket")).agg(F.sum("tf").alias("n"))
-    entries = F.map_from_entries(F.collect_list(F.struct("bucket", "n")))
     by_node = counts.groupBy("node_id", *keep).agg(
-        entries.alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")
+        F.collect_list(F.struct("bucket", "n")).alias("e"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")
     )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm"),
-    )
-    return by_node.select("node_id", *keep, dense.alias("vector"))
+    values = F.transform("e.n", lambda n: n / F.col("norm"))
+    return by_node.select("node_id", *keep, F.struct(
+        F.lit(dim).alias("dim"), F.col("e.bucket").alias("at"), values.alias("x")).alias("vector"))
+
+
+def vector_length(vector: Column, sparse: bool) -> Column:
+    return vector["dim"] if sparse else F.size(vector)
+
+
+def is_sparse(vectors: DataFrame) -> bool:
+    return isinstance(vectors.schema["vector"].dataType, T.StructType)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Rows of vectors as a matrix; sparse vectors are filled up with zeros here."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_struct(values.type):
+        at, x = values.field("at"), values.field("x")
+        rows = np.repeat(np.arange(len(values)), at.value_lengths().to_numpy(zero_copy_only=False))
+        m = np.zeros((len(values), dim))
+        m[rows, at.flatten().to_numpy(zero_copy_only=False)] = x.flatten().to_numpy(zero_copy_only=False)
+        return m
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
@@ -66,7 +78,8 @@ def _first_k(found: pa.Table, k: int) -> pa.Table:
 
 def _search_slice(vectors: DataFrame, queries: pa.Table, k: int, cosine: bool,
                   threshold: float | None, value: str, carry: Sequence[str]) -> DataFrame:
-    dim = len(queries["vector"][0])
+    first = queries["vector"][0].as_py()
+    dim = first["dim"] if isinstance(first, dict) else len(first)
     wanted = _matrix(queries["vector"], dim)
     wanted = _unit(wanted) if cosine else wanted
     sizes = np.einsum("ij,ij->i", wanted, wanted)
@@ -124,7 +137,8 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool, thresh
             value: str, carry: Sequence[str]) -> DataFrame:
     """Every task keeps its k best rows per query; only those are shuffled and ranked."""
     queries = cut_lineage(queries.select("query_id", "vector"))
-    n, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    length = vector_length(F.col("vector"), is_sparse(queries))
+    n, dim = queries.agg(F.count("*"), F.max(length)).first()
     passes = max(1, -(-n * (dim or 1) * 8 // MAX_QUERY_BYTES))
     parts = []
     for i in range(passes):

@@ -27,6 +27,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few splits; an input of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_hot_apart(big: DataFrame, unique: DataFrame, keys: Sequence[str], rows: str,
                    total_rows: int) -> DataFrame:
     """Inner join of a table with one row per key, which knows the rows of each key.

@@ -13,6 +13,7 @@ from askgrid.functions.text import ENGLISH_STOP_WORDS
 from askgrid.operators.chunking import CHILD_SIZE, OVERLAP, PARENT_SIZE, chunk_hierarchical
 from askgrid.operators.dense import hashed_vectors
 from askgrid.operators.lexical import LexicalIndex, build_lexical_index, term_postings
+from askgrid.operators.sizing import spread
 from askgrid.session import scratch_path
 
 TREE = ("level", "parent_id", "n_siblings")
@@ -47,7 +48,7 @@ def build_index(docs: DataFrame, sizes: Sequence[int] = (PARENT_SIZE, CHILD_SIZE
     words = tuple(stop_words)
     spark = docs.sparkSession
     path = scratch_path(spark, "nodes")
-    chunk_hierarchical(docs, sizes, overlap).write.parquet(path)
+    chunk_hierarchical(spread(docs.select("doc_id", "text")), sizes, overlap).write.parquet(path)
     nodes = spark.read.parquet(path)
     lexical = build_lexical_index(nodes, words, keep=TREE)
     leaves = lexical.postings.filter(F.col("level") == len(sizes) - 1)

@@ -359,9 +359,10 @@ ORACLE: dict[str, str] = {
  WHERE node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL)""",
     "filter_root_nodes": with_(CHUNKS) + "SELECT node_id, doc_id, level, seq FROM nodes WHERE parent_id IS NULL",
     "filter_relevance_grade": "SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic <> 1",
-    "filter_similarity_topk": with_(CENTROIDS) + """SELECT query_id, node_id, similarity, rank FROM (
+    "filter_similarity_topk": with_(CENTROIDS,
+        "firsts AS (SELECT label AS query_id, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS v FROM embeddings GROUP BY label)") + """SELECT query_id, node_id, similarity, rank FROM (
  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, node_id) AS INT) AS rank FROM (
-  SELECT query_id, node_id, round(list_cosine_similarity(v, vector), 6) AS similarity FROM cents, vecs)
+  SELECT query_id, node_id, round(list_cosine_similarity(v, vector), 6) AS similarity FROM firsts, vecs)
  WHERE similarity >= 0.5) WHERE rank <= 2""",
     "proj_attach_metadata": with_(CHUNKS) + rf"""SELECT node_id, source, level, CAST(length(n.text) AS INT) AS n_chars,
  CAST(len({words('n.text')}) AS INT) AS n_tokens, parent_id IS NULL AS is_root FROM nodes n JOIN documents USING (doc_id)""",

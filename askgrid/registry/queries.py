@@ -310,7 +310,9 @@ def _vectors(t: Tables) -> DataFrame:
 
 @query
 def filter_similarity_topk(t: Tables) -> DataFrame:
-    return dense.similarity_topk(_vectors(t), _centroids(t))
+    firsts = t.embeddings.groupBy(F.col("label").alias("query_id")).agg(
+        F.min_by("embedding", "vec_id").alias("vector"))
+    return dense.similarity_topk(_vectors(t), firsts)
 
 
 @query
@@ -708,8 +710,8 @@ def stream_upsert_latest(t: Tables) -> DataFrame:
 @query
 def udf_embed(t: Tables) -> DataFrame:
     vectors = dense.hashed_vectors(t.lexical.postings)
-    return vectors.select("node_id", F.posexplode("vector").alias("bucket", "x")).filter("x > 0").select(
-        "node_id", "bucket", F.round("x", 6).alias("x"))
+    return vectors.select("node_id", F.explode(F.arrays_zip("vector.at", "vector.x")).alias("e")).select(
+        "node_id", F.col("e.at").alias("bucket"), F.round("e.x", 6).alias("x"))
 
 
 @query
