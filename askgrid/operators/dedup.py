@@ -40,15 +40,10 @@ THRESHOLD = 0.95
 FEW_ROWS = 64
 
 
-def item_sets(items: DataFrame) -> DataFrame:
-    """Word set, its size and its fingerprint per item (item_id, words, n, print)."""
-    # placed by item before the words are cut, so that blocks are formed without a shuffle
-    sets = items.select("item_id", "text").repartition("item_id").select(
-        "item_id", token_set("text").alias("words"))
-    return sets.select(
-        "item_id", "words", F.size("words").alias("n"),
-        F.sha2(F.array_join("words", " "), 256).alias("print"),
-    )
+def _comparable(n: Column, threshold: float) -> Column:
+    """Two different sets exceed t only if each has more than t / (1 - t) words."""
+    t = Fraction(str(threshold))
+    return n * F.lit(t.denominator - t.numerator) > F.lit(t.numerator)
 
 
 def _parts(level: Column, threshold: float) -> Column:
@@ -59,15 +54,26 @@ def _parts(level: Column, threshold: float) -> Column:
     return (F.floor(2 * (1 - t) / (1 + t) * largest) + 2).cast("int")
 
 
-def block_keys(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Blocks of each set (item_id, block). A set belongs to the level of its size and is
-    compared within that level and with the next ones, hence two levels of blocks."""
+def signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Size, fingerprint and blocks of the word set of each item (item_id, n, print, blocks).
+
+    One pass over the texts: they are placed by item before the words are cut, and all
+    that follows stays in place. A set belongs to the level of its size and is compared
+    within that level and with the next ones, hence it has blocks of two levels.
+    """
     base = math.log(1 / float(threshold))
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(base)).cast("int")
-    return (
-        sets.select("item_id", "words", F.explode_outer(F.array(level, level - 1)).alias("level"))
-        .withColumn("parts", _parts(F.col("level"), threshold))
-        .select("item_id", "level", F.explode_outer(F.concat(
+    sets = (
+        items.select("item_id", "text").repartition("item_id")
+        .select("item_id", token_set("text").alias("words"))
+        .select("item_id", "words", F.size("words").alias("n"),
+                F.unhex(F.sha2(F.array_join("words", " "), 256)).alias("print"))
+        .withColumn("words", F.when(_comparable(F.col("n"), threshold), F.col("words")))
+    )
+    word_parts = (
+        sets.select("item_id", "n", "print", "words", F.explode_outer(F.array(level, level - 1)).alias("level"))
+        .withColumn("parts", F.when(F.col("words").isNotNull(), _parts(F.col("level"), threshold)))
+        .select("item_id", "n", "print", "level", F.explode_outer(F.concat(
             F.transform("words", lambda w: F.struct(
                 F.pmod(F.xxhash64(w), F.col("parts")).cast("int").alias("part"),
                 F.xxhash64(F.concat(F.lit("#"), w)).alias("h"), F.lit(1).alias("c"),
@@ -77,73 +83,70 @@ def block_keys(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 p.alias("part"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("c"),
             )),
         )).alias("e"))
-        .groupBy("item_id", "level", F.col("e.part").alias("part"))
-        .agg(F.bit_xor("e.h").alias("h"), F.sum("e.c").alias("c"))
-        .select("item_id", F.xxhash64("level", "part", "h", "c").alias("block"))
     )
+    blocks = word_parts.groupBy("item_id", "level", F.col("e.part").alias("part")).agg(
+        F.bit_xor("e.h").alias("h"), F.sum("e.c").alias("c"), F.first("n").alias("n"), F.first("print").alias("print"))
+    block = F.when(F.col("part").isNotNull(), F.xxhash64("level", "part", "h", "c"))
+    return blocks.groupBy("item_id").agg(
+        F.first("n").alias("n"), F.first("print").alias("print"), F.collect_list(block).alias("blocks"))
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (.., item_id, pivot_item) whose sets exceed the threshold, with the counts."""
-    mine = sets.select("item_id", "words", "n")
-    pivots = sets.select(
-        F.col("item_id").alias("pivot_item"), F.col("words").alias("pivot_words"),
-        F.col("n").alias("pivot_n"),
+def _compare(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (.., item_id, pivot_item) whose word sets exceed the threshold. Words are cut
+    again for the items in question only."""
+    uses = pairs.groupBy(F.col("pivot_item").alias("item_id")).agg(F.count("*").alias("_uses"))
+    wanted = cut_lineage(
+        pairs.select("item_id", F.lit(0).cast("long").alias("_uses")).unionByName(uses)
+        .groupBy("item_id").agg(F.sum("_uses").alias("_uses"))
     )
-    sized = pairs.join(mine, "item_id")
-    uses = pairs.groupBy("pivot_item").agg(F.count("*").alias("_uses"))
-    total = uses.agg(F.coalesce(F.sum("_uses"), F.lit(0))).first()[0]
-    used = pivots.join(broadcast_if_small(uses), "pivot_item")
-    both = join_hot_apart(sized, used, ["pivot_item"], "_uses", total)
+    total = wanted.agg(F.coalesce(F.sum("_uses"), F.lit(0))).first()[0]
+    sets = cut_lineage(
+        items.join(broadcast_if_small(wanted), "item_id")
+        .select("item_id", "_uses", token_set("text").alias("words"))
+    )
+    pivots = sets.filter("_uses > 0").select(
+        F.col("item_id").alias("pivot_item"), F.col("words").alias("pivot_words"), "_uses")
+    both = join_hot_apart(pairs.join(sets.select("item_id", "words"), "item_id"), pivots, ["pivot_item"], "_uses", total)
     t = Fraction(str(threshold))
-    smaller, larger = F.least("n", "pivot_n"), F.greatest("n", "pivot_n")
+    n, pivot_n = F.size("words"), F.size("pivot_words")
     return (
-        both.filter(smaller * F.lit(t.denominator) > larger * F.lit(t.numerator))
+        both.filter(F.least(n, pivot_n) * F.lit(t.denominator) > F.greatest(n, pivot_n) * F.lit(t.numerator))
         .withColumn("common", F.size(F.array_intersect("words", "pivot_words")))
-        .filter(exceeds_jaccard(F.col("common"), F.col("n"), F.col("pivot_n"), threshold))
-        .withColumn("similarity", F.round(
-            safe_ratio("common", F.col("n") + F.col("pivot_n") - F.col("common")), 6))
-        .drop("words", "pivot_words", "_uses")
+        .filter(exceeds_jaccard(F.col("common"), n, pivot_n, threshold))
+        .withColumn("similarity", F.round(safe_ratio("common", n + pivot_n - F.col("common")), 6))
+        .drop("words", "pivot_words", "common", "_uses")
     )
 
 
 def greedy_dedup(rows: DataFrame, items: DataFrame, groups: Sequence[str], order: str,
-                 threshold: float = THRESHOLD) -> DataFrame:
+                 threshold: float = THRESHOLD, signed: DataFrame | None = None) -> DataFrame:
     """Add ``kept`` to rows (groups, order, item_id); items hold (item_id, text).
 
     ``order`` is a number or string distinct within its group. Items may occur in many
-    groups and several times in one; their words are cut and hashed once.
+    groups and several times in one; their words are cut and hashed once. ``signed`` are
+    the signatures of the items, where they exist already.
     """
     groups = list(groups)
-    sets = item_sets(items)
-    sets = cut_lineage(sets.select("item_id", "words", "n", "print"))
+    signed = cut_lineage(signatures(items, threshold)) if signed is None else signed
     placed = cut_lineage(
         rows.select(*groups, F.col(order).alias("ord"), "item_id")
-        .join(sets.select("item_id", "n", "print"), "item_id")
+        .join(signed.select("item_id", "n", "print"), "item_id")
     )
-    full = placed.filter(F.col("n") > 0)
     # first row of every distinct set in a group
-    firsts = full.groupBy(*groups, "print").agg(
-        F.min("ord").alias("ord"), F.min_by("item_id", "ord").alias("item_id"), F.min("n").alias("n")
-    )
-    # two different sets exceed t only if the smaller has more than t / (1 - t) words
-    t = Fraction(str(threshold))
-    comparable = F.col("n") * F.lit(t.denominator - t.numerator) > F.lit(t.numerator)
-    rivals = firsts.filter(comparable).select(*groups, "ord", "item_id")
-    keys = block_keys(
-        sets.join(broadcast_if_small(rivals.select("item_id").distinct()), "item_id", "left_semi"), threshold
-    )
-    blocks = rivals.join(keys, "item_id").persist(StorageLevel.MEMORY_AND_DISK)
-    shared = blocks.groupBy(*groups, "block").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > 1)
-    shared = cut_lineage(shared)
+    firsts = placed.filter(F.col("n") > 0).groupBy(*groups, "print").agg(
+        F.min("ord").alias("ord"), F.min_by("item_id", "ord").alias("item_id"), F.min("n").alias("n"))
+    rivals = firsts.filter(_comparable(F.col("n"), threshold)).select(*groups, "ord", "item_id")
+    keys = [*groups, "block"]
+    blocks = rivals.join(signed.select("item_id", "blocks"), "item_id").select(
+        *groups, "ord", "item_id", F.explode("blocks").alias("block")).persist(StorageLevel.MEMORY_AND_DISK)
+    shared = cut_lineage(blocks.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > 1))
     total = shared.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
     dropped = []
     if total:
-        undecided = _join_blocks(blocks, shared, [*groups, "block"], total)
-        undecided = cut_lineage(undecided.select(*groups, "block", "ord", "item_id"))
-        dropped, undecided = _thin_out(undecided, sets, groups, threshold)
+        undecided = cut_lineage(_join_blocks(blocks, shared, keys, total).select(*keys, "ord", "item_id"))
+        dropped, undecided = _thin_out(undecided, items, groups, threshold)
         if undecided is not None:
-            dropped += _settle(_duplicates(undecided, sets, groups, threshold), groups)
+            dropped += _settle(_duplicates(undecided, items, groups, threshold), groups)
     blocks.unpersist()
 
     winners = firsts.select(*groups, "ord")
@@ -163,7 +166,7 @@ def _join_blocks(rows: DataFrame, blocks: DataFrame, keys: list[str], total: int
     return join_hot_apart(rows, blocks, keys, "_rows", total)
 
 
-def _thin_out(undecided: DataFrame, sets: DataFrame, groups: list[str],
+def _thin_out(undecided: DataFrame, items: DataFrame, groups: list[str],
               threshold: float) -> tuple[list[DataFrame], DataFrame | None]:
     """Decide rows until every block has few: the dropped rows (groups, ord) and the rows
     (groups, block, ord, item_id) of the blocks left, None if there are none."""
@@ -192,7 +195,7 @@ def _thin_out(undecided: DataFrame, sets: DataFrame, groups: list[str],
             .filter(F.col("ord") > F.col("first"))
             .select(*groups, "ord", "item_id", "pivot_item").distinct()
         )
-        gone = cut_lineage(_compare(behind, sets, threshold).select(*groups, "ord").distinct())
+        gone = cut_lineage(_compare(cut_lineage(behind), items, threshold).select(*groups, "ord").distinct())
         dropped.append(gone)
         decided = gone.unionByName(leads.withColumnRenamed("first", "ord"))
         undecided = cut_lineage(
@@ -201,7 +204,7 @@ def _thin_out(undecided: DataFrame, sets: DataFrame, groups: list[str],
         )
 
 
-def _duplicates(rows: DataFrame, sets: DataFrame, groups: list[str], threshold: float) -> DataFrame:
+def _duplicates(rows: DataFrame, items: DataFrame, groups: list[str], threshold: float) -> DataFrame:
     """Pairs (groups, first, ord) above the threshold within blocks of few rows."""
     together = rows.groupBy(*groups, "block").agg(
         F.array_sort(F.collect_list(F.struct("ord", "item_id"))).alias("r"))
@@ -214,7 +217,7 @@ def _duplicates(rows: DataFrame, sets: DataFrame, groups: list[str], threshold:
             F.col("later.ord").alias("ord"), F.col("later.item_id").alias("item_id"),
         ).distinct()
     )
-    return _compare(cut_lineage(pairs), sets, threshold).select(*groups, "first", "ord")
+    return _compare(cut_lineage(pairs), items, threshold).select(*groups, "first", "ord")
 
 
 def _settle(pairs: DataFrame, groups: list[str]) -> list[DataFrame]:
@@ -240,38 +243,31 @@ def duplicate_pairs(rows: DataFrame, items: DataFrame, groups: Sequence[str], or
     (groups, dup_item, kept_item, similarity). One row per dropped row, however many
     copies a text has."""
     groups = list(groups)
-    sets = cut_lineage(item_sets(items))
-    marked = cut_lineage(greedy_dedup(rows, items, groups, order, threshold).select(
-        *groups, F.col(order).alias("ord"), "item_id", "kept"))
-    known = marked.join(sets.select("item_id", "n", "print"), "item_id").filter("n > 0")
+    signed = cut_lineage(signatures(items, threshold))
+    marked = greedy_dedup(rows, items, groups, order, threshold, signed).select(
+        *groups, F.col(order).alias("ord"), "item_id", "kept")
+    known = cut_lineage(marked.join(signed.select("item_id", "n", "print"), "item_id").filter("n > 0").drop("n"))
     # one stand-in per distinct set: all copies of it share their first kept partner
     kept = known.filter("kept").select(
         *groups, "print", F.col("ord").alias("kept_ord"), F.col("item_id").alias("pivot_item"))
-    lost = known.filter(~F.col("kept")).groupBy(*groups, "print").agg(F.min_by("item_id", "ord").alias("item_id"))
-    twins = lost.join(kept, [*groups, "print"], "left_semi")
-    near = lost.join(twins, [*groups, "print"], "left_anti").join(
-        sets.select("item_id", "words"), "item_id")
-    near = cut_lineage(near)
-    near_blocks = near.select(*groups, "item_id", "print").join(
-        block_keys(near.select("item_id", "words", F.size("words").alias("n")).dropDuplicates(["item_id"]),
-                   threshold), "item_id")
-    near_blocks = cut_lineage(near_blocks)
-    wanted = broadcast_if_small(near_blocks.select(*groups, "block").distinct())
-    kept_blocks = (
-        kept.withColumnRenamed("pivot_item", "item_id")
-        .join(block_keys(sets.filter("n > 0"), threshold), "item_id")
-        .join(wanted, [*groups, "block"], "left_semi")
-        .withColumnRenamed("item_id", "pivot_item").drop("print")
+    lost = cut_lineage(known.filter(~F.col("kept")).groupBy(*groups, "print").agg(
+        F.min_by("item_id", "ord").alias("item_id")))
+    keys = [*groups, "print"]
+    twins = kept.join(lost.select(*keys), keys).select(
+        *keys, "kept_ord", F.col("pivot_item").alias("kept_item"), F.lit(1.0).alias("similarity"))
+    blocks = signed.select("item_id", F.explode("blocks").alias("block"))
+    near = cut_lineage(lost.join(kept, keys, "left_anti").join(blocks, "item_id"))
+    wanted = broadcast_if_small(near.select(*groups, "block").distinct())
+    rivals = (
+        kept.drop("print").withColumnRenamed("pivot_item", "item_id").join(blocks, "item_id")
+        .join(wanted, [*groups, "block"], "left_semi").withColumnRenamed("item_id", "pivot_item")
     )
-    pairs = near_blocks.join(kept_blocks, [*groups, "block"]).select(
-        *groups, "print", "item_id", "pivot_item", "kept_ord").distinct()
+    pairs = near.join(rivals, [*groups, "block"]).select(*keys, "item_id", "pivot_item", "kept_ord").distinct()
     partner = (
-        _compare(cut_lineage(pairs), sets, threshold)
-        .groupBy(*groups, "print")
+        _compare(cut_lineage(pairs), items, threshold).groupBy(*keys)
         .agg(F.min("kept_ord").alias("kept_ord"), F.min_by("pivot_item", "kept_ord").alias("kept_item"),
              F.min_by("similarity", "kept_ord").alias("similarity"))
-        .unionByName(kept.join(twins.select(*groups, "print"), [*groups, "print"]).select(
-            *groups, "print", "kept_ord", F.col("pivot_item").alias("kept_item"), F.lit(1.0).alias("similarity")))
+        .unionByName(twins)
     )
-    return known.filter(~F.col("kept")).join(partner, [*groups, "print"]).select(
+    return known.filter(~F.col("kept")).join(partner, keys).select(
         *groups, F.col("item_id").alias("dup_item"), "kept_item", "similarity")

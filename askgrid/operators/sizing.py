@@ -7,18 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only after its rows were counted and found to be at most this many.
+# A side is broadcast only after its rows and bytes were measured and found within both.
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 # A key with more rows than this is joined apart from the others.
 HOT_KEY_ROWS = 100_000
 # At most this many keys are treated as hot, so the table of hot keys is always small.
 MAX_HOT_KEYS = 10_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Count at most max_rows + 1 rows to decide; never counts a large table to its end."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """Approximate size of a value."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c) + 16
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.StructType, T.ArrayType)):
+        size = F.size(c) * 8 + 16
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        size = F.octet_length(F.to_json(c)) + 16
+    else:
+        return F.lit(8)
+    return F.coalesce(size, F.lit(8))
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                   max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Measure at most max_rows + 1 rows to decide; never reads a large table to its end."""
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    rows, total = df.select(size.cast("long").alias("b")).limit(max_rows + 1).agg(
+        F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return rows <= max_rows and total <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
