@@ -52,7 +52,7 @@ def strip_text(text: Column | str) -> Column:
 
 def token_set(text: Column | str) -> Column:
     """The sorted distinct lower-cased words of a text."""
-    return F.array_sort(F.array_distinct(tokenize_ws(text)))
+    return F.sort_array(F.array_distinct(tokenize_ws(text)))
 
 
 def safe_ratio(num: Column | str, den: Column | str, empty: float = 0.0) -> Column:

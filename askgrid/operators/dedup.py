@@ -66,29 +66,36 @@ def signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = (
         items.select("item_id", "text").repartition("item_id")
         .select("item_id", token_set("text").alias("words"))
-        .select("item_id", "words", F.size("words").alias("n"),
-                F.unhex(F.sha2(F.array_join("words", " "), 256)).alias("print"))
-        .withColumn("words", F.when(_comparable(F.col("n"), threshold), F.col("words")))
+        .select("item_id", "words", F.size("words").cast("long").alias("n"),
+                F.sha2(F.array_join("words", " "), 256).alias("sha"))
+        # 120 bits of the digest as two numbers, which aggregates can keep in place
+        .select("item_id", "words", "n", *[
+            F.conv(F.substring("sha", at, 15), 16, 10).cast("long").alias(name)
+            for name, at in (("p1", 1), ("p2", 16))
+        ])
     )
-    word_parts = (
-        sets.select("item_id", "n", "print", "words", F.explode_outer(F.array(level, level - 1)).alias("level"))
-        .withColumn("parts", F.when(F.col("words").isNotNull(), _parts(F.col("level"), threshold)))
-        .select("item_id", "n", "print", "level", F.explode_outer(F.concat(
-            F.transform("words", lambda w: F.struct(
-                F.pmod(F.xxhash64(w), F.col("parts")).cast("int").alias("part"),
-                F.xxhash64(F.concat(F.lit("#"), w)).alias("h"), F.lit(1).alias("c"),
-            )),
-            # every part of a set has a block, also one without words
-            F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(
-                p.alias("part"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("c"),
-            )),
-        )).alias("e"))
+    words = (
+        sets.select("item_id", "n", "p1", "p2",
+                    F.explode_outer(F.when(_comparable(F.col("n"), threshold), F.col("words"))).alias("word"))
+        .select("*", F.explode(F.array(level, level - 1)).alias("level"))
+        .withColumn("parts", F.when(F.col("word").isNotNull(), _parts(F.col("level"), threshold)))
+    )
+    facts = [F.first(c).alias(c) for c in ("n", "p1", "p2")]
+    by_part = words.groupBy(
+        "item_id", "level", "parts", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int").alias("part")
+    ).agg(F.bit_xor(F.xxhash64("word", F.lit("#"))).alias("h"), F.count("word").alias("c"), *facts)
+    by_level = by_part.groupBy("item_id", "level", "parts").agg(
+        F.collect_list(F.xxhash64("level", "part", "h", "c")).alias("b"), F.collect_list("part").alias("used"), *facts)
+    # a part without words is a block as well
+    bare = F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.col("used"))
+    bare = F.transform(bare, lambda part: F.xxhash64(F.col("level"), part, F.lit(0)))
+    none = F.array().cast("array<bigint>")
+    return (
+        by_level.select("item_id", "n", "p1", "p2", F.when(
+            F.col("parts").isNotNull(), F.concat("b", bare)).otherwise(none).alias("b"))
+        .groupBy("item_id").agg(*facts, F.flatten(F.collect_list("b")).alias("blocks"))
+        .select("item_id", "n", F.struct("p1", "p2").alias("print"), "blocks")
     )
-    blocks = word_parts.groupBy("item_id", "level", F.col("e.part").alias("part")).agg(
-        F.bit_xor("e.h").alias("h"), F.sum("e.c").alias("c"), F.first("n").alias("n"), F.first("print").alias("print"))
-    block = F.when(F.col("part").isNotNull(), F.xxhash64("level", "part", "h", "c"))
-    return blocks.groupBy("item_id").agg(
-        F.first("n").alias("n"), F.first("print").alias("print"), F.collect_list(block).alias("blocks"))
 
 
 def _compare(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
@@ -207,7 +214,7 @@ def _thin_out(undecided: DataFrame, items: DataFrame, groups: list[str],
 def _duplicates(rows: DataFrame, items: DataFrame, groups: list[str], threshold: float) -> DataFrame:
     """Pairs (groups, first, ord) above the threshold within blocks of few rows."""
     together = rows.groupBy(*groups, "block").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "item_id"))).alias("r"))
+        F.sort_array(F.collect_list(F.struct("ord", "item_id"))).alias("r"))
     pairs = (
         together.select(*groups, "r", F.posexplode("r").alias("i", "lead"))
         .select(*groups, "lead", F.explode(F.slice(

@@ -90,6 +90,6 @@ def keyword_subqueries(index: LexicalIndex, questions: DataFrame, n: int = 8,
     top = top_per_group(weighted, ["query_id"], [F.col("w").desc(), F.col("term")], n)
     return (
         top.groupBy(F.col("query_id").alias("question_idx"))
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("t"))
         .select("question_idx", F.array_join(F.transform("t", lambda t: t["term"]), ", ").alias("subquery"))
     )

@@ -100,6 +100,6 @@ def contexts_per_question(ranked: DataFrame, n: int = CONTEXTS_KEPT) -> DataFram
     return (
         ranked.filter(F.col("rank") <= n)
         .groupBy("question_idx")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("c"))
         .select("question_idx", F.transform("c", lambda c: c["text"]).alias("contexts"))
     )

@@ -121,11 +121,11 @@ def concat_in_order(df: DataFrame, groups: Sequence[str], order: str, text: str,
     runs = (
         df.withColumn("_run", F.floor(F.col(order) / block))
         .groupBy(*groups, "_run")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_p"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_p"))
         .withColumn("_t", F.array_join(F.transform("_p", lambda p: p["t"]), sep))
     )
     return (
         runs.groupBy(*groups)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("_run").alias("o"), F.col("_t").alias("t")))).alias("_p"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("_run").alias("o"), F.col("_t").alias("t")))).alias("_p"))
         .select(*groups, F.array_join(F.transform("_p", lambda p: p["t"]), sep).alias(out))
     )

@@ -14,7 +14,7 @@ from askgrid.session import cut_lineage
 
 def _list(df: DataFrame, rank: str, value: str, out: str) -> DataFrame:
     return df.groupBy("question_idx").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(value).alias("v")))).alias("l")
+        F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(value).alias("v")))).alias("l")
     ).select("question_idx", F.transform("l", lambda x: x["v"]).alias(out))
 
 

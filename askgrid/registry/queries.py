@@ -300,7 +300,7 @@ def _centroids(t: Tables) -> DataFrame:
         .groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
     )
     return means.groupBy(F.col("label").alias("query_id")).agg(
-        F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")
+        F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")
     ).select("query_id", F.transform("v", lambda e: e["x"]).alias("vector"))
 
 
