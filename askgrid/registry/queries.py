@@ -12,7 +12,7 @@ from askgrid.functions.stem import stem_table
 from askgrid.operators import (
     candidates, chunking, dedup, dense, lexical, merging, metrics, models, reranking, selection,
 )
-from askgrid.operators.sizing import number_rows
+from askgrid.operators.sizing import number_rows, spread
 from askgrid.plans import assess, expand, index, rag, retrieve
 from askgrid.session import cut_lineage, scratch_path
 from askgrid.sources import documents, questionnaire, responses
@@ -317,7 +317,7 @@ def filter_similarity_topk(t: Tables) -> DataFrame:
 
 @query
 def proj_attach_metadata(t: Tables) -> DataFrame:
-    nodes = chunking.chunk_hierarchical(t.documents, keep=("source",))
+    nodes = chunking.chunk_hierarchical(spread(t.documents), keep=("source",))
     return chunking.attach_metadata(nodes).select(
         "node_id", "source", "level", "n_chars", "n_tokens", "is_root")
 
@@ -596,19 +596,19 @@ def jaccard_similarity(t: Tables) -> DataFrame:
 
 @query
 def chunk_hierarchical(t: Tables) -> DataFrame:
-    return chunking.chunk_hierarchical(t.documents)
+    return chunking.chunk_hierarchical(spread(t.documents))
 
 
 @query
 def tokenize_ws(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode_outer(text.tokenize_ws("text")).alias("word")).filter(
+    return spread(t.documents).select("doc_id", F.explode_outer(text.tokenize_ws("text")).alias("word")).filter(
         F.col("word").isNotNull()).groupBy("doc_id").agg(
         F.count("*").alias("n_words"), F.count_distinct("word").alias("n_distinct"), F.max("word").alias("last_word"))
 
 
 @query
 def tokenize_terms(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode_outer(text.tokenize_terms("text")).alias("term")).filter(
+    return spread(t.documents).select("doc_id", F.explode_outer(text.tokenize_terms("text")).alias("term")).filter(
         F.col("term").isNotNull()).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 

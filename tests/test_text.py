@@ -74,3 +74,13 @@ def test_porter_examples():
 def test_stem_table(spark):
     df = spark.createDataFrame([("cats",), ("cat",), (None,)], "term string")
     assert {(r.term, r.stem) for r in stem_table(df).collect()} == {("cats", "cat"), ("cat", "cat"), (None, None)}
+
+
+def test_every_white_space_character(spark):
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    text = "".join(f"a{c}B" for c in spaces)
+    assert one(spark, text, tx.tokenize_ws("t")) == text.lower().split()
+    others = "".join(chr(c) for c in range(1, 0x3100) if not chr(c).isspace() and not chr(c).isupper())
+    assert one(spark, "x" + others, F.size(tx.split_words("t"))) == 1
+    for c in spaces:
+        assert one(spark, f"{c}{c}x{c}", tx.strip_text("t")) == "x"
