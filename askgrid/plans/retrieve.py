@@ -31,28 +31,34 @@ def candidate_lists(index: RetrievalIndex, questions: DataFrame, subqueries: Dat
     return cut_lineage(union_subqueries(retrieve(index, queries, k)))
 
 
-def dedup_candidates(index: RetrievalIndex, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def candidate_texts(index: RetrievalIndex, candidates: DataFrame) -> DataFrame:
+    """Texts (node_id, text) of all candidates: the one scan of the node texts."""
+    return cut_lineage(join_docstore(candidates.select("node_id").distinct(), index.nodes))
+
+
+def dedup_candidates(candidates: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Mark the candidates of each question that stay; done before reranking, so the first
     in retrieval order survives."""
-    ids = candidates.select("node_id").distinct()
-    items = join_docstore(ids, index.nodes).withColumnRenamed("node_id", "item_id")
     rows = candidates.select("question_idx", "ord", F.col("node_id").alias("item_id"))
-    return greedy_dedup(rows, items, ["question_idx"], "ord", threshold).withColumnRenamed("item_id", "node_id")
+    items = texts.withColumnRenamed("node_id", "item_id")
+    return cut_lineage(greedy_dedup(rows, items, ["question_idx"], "ord", threshold)
+                       .withColumnRenamed("item_id", "node_id"))
 
 
-def rank_contexts(index: RetrievalIndex, questions: DataFrame, marked: DataFrame,
+def rank_contexts(index: RetrievalIndex, questions: DataFrame, marked: DataFrame, texts: DataFrame,
                   top: int | None = CONTEXTS_KEPT) -> DataFrame:
     """Best contexts against the question itself, never a sub-query:
     (question_idx, rank, node_id, score, text)."""
     pairs = marked.filter("kept").select("question_idx", "ord", "node_id")
     scored = cosine_scores(pairs, questions, index.lexical.postings, index.stop_words)
     ranked = rerank_topn(scored, ["question_idx"], top, idx="ord")
-    return join_docstore(cut_lineage(ranked.select("question_idx", "rank", "node_id", "score")), index.nodes)
+    return join_docstore(cut_lineage(ranked.select("question_idx", "rank", "node_id", "score")), texts)
 
 
 def retrieve_contexts(index: RetrievalIndex, questions: DataFrame, subqueries: DataFrame | None = None,
                       top: int | None = CONTEXTS_KEPT) -> DataFrame:
     """Questions (question_idx, question) with sub-queries (question_idx, subquery_no, subquery)
     to their top contexts: retrieve, expand, de-duplicate, rerank, keep the best."""
-    marked = cut_lineage(dedup_candidates(index, candidate_lists(index, questions, subqueries)))
-    return rank_contexts(index, questions, marked, top)
+    candidates = candidate_lists(index, questions, subqueries)
+    texts = candidate_texts(index, candidates)
+    return rank_contexts(index, questions, dedup_candidates(candidates, texts), texts, top)

@@ -60,18 +60,10 @@ class Tables:
         return self._once("index", lambda: index.build_index(self.documents))
 
     @property
-    def candidates(self) -> DataFrame:
-        """Candidates of all questions and their key-term sub-queries."""
-        def build():
-            subs, _ = expand.expand_questions(
-                self.questions, expand.keyword_replies(self.index.lexical, self.questions))
-            return retrieve.candidate_lists(self.index, self.questions, subs)
-        return self._once("candidates", build)
-
-    @property
-    def marked(self) -> DataFrame:
-        return self._once("marked", lambda: cut_lineage(
-            retrieve.dedup_candidates(self.index, self.candidates)))
+    def subqueries(self) -> DataFrame:
+        """One sub-query of key terms per question."""
+        return expand.expand_questions(
+            self.questions, expand.keyword_replies(self.index.lexical, self.questions))[0]
 
 
 def forget_indexes() -> None:
@@ -581,7 +573,7 @@ def hybrid_union(t: Tables) -> DataFrame:
 
 @query
 def union_subqueries(t: Tables) -> DataFrame:
-    return t.candidates
+    return retrieve.candidate_lists(t.index, t.questions, t.subqueries)
 
 
 @query
@@ -773,7 +765,7 @@ def answer_questions(t: Tables) -> DataFrame:
 
 @query
 def retrieve_contexts(t: Tables) -> DataFrame:
-    return retrieve.rank_contexts(t.index, t.questions, t.marked).select(
+    return retrieve.retrieve_contexts(t.index, t.questions, t.subqueries).select(
         "question_idx", "rank", "node_id", "score", "text")
 
 
