@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askgrid.functions.text import ENGLISH_STOP_WORDS
@@ -56,6 +58,39 @@ def build_index(docs: DataFrame, sizes: Sequence[int] = (PARENT_SIZE, CHILD_SIZE
     return RetrievalIndex(nodes, lexical, vectors, words)
 
 
+def save_index(index: RetrievalIndex, path: str, buckets: int = 200) -> None:
+    """Keep an index for later sessions. The term table is bucketed by node, which is the
+    placement its queries rely on; every task writes the one file of its bucket."""
+    spark = index.nodes.sparkSession
+    index.nodes.write.parquet(os.path.join(path, "nodes"))
+    index.vectors.write.parquet(os.path.join(path, "vectors"))
+    table = f"askgrid_{uuid.uuid4().hex}"
+    (index.lexical.postings.repartition(buckets, "node_id").write.bucketBy(buckets, "node_id")
+        .option("path", os.path.join(path, "postings")).saveAsTable(table))
+    spark.sql(f"DROP TABLE {table}")  # the files stay where they are
+    facts = [(index.lexical.n_nodes, float(index.lexical.avg_len), list(index.stop_words), buckets)]
+    spark.createDataFrame(
+        facts, "n_nodes long, avg_len double, stop_words array<string>, buckets int"
+    ).coalesce(1).write.parquet(os.path.join(path, "facts"))
+
+
+def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
+    """An index saved by save_index, read from its tables instead of being built."""
+    facts = spark.read.parquet(os.path.join(path, "facts")).first()
+    place = os.path.join(path, "postings")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(place).schema)
+    table = f"askgrid_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}) USING parquet "
+        f"CLUSTERED BY (node_id) INTO {facts.buckets} BUCKETS LOCATION '{place}'"
+    )
+    lexical = LexicalIndex(spark.table(table), facts.n_nodes, facts.avg_len)
+    return RetrievalIndex(
+        spark.read.parquet(os.path.join(path, "nodes")), lexical,
+        spark.read.parquet(os.path.join(path, "vectors")), tuple(facts.stop_words),
+    )
+
+
 def index_summary(index: RetrievalIndex) -> DataFrame:
     """Nodes per level with their words and terms."""
     nodes = index.nodes.groupBy("level").agg(

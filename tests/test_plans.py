@@ -78,3 +78,19 @@ def test_rag_with_and_without_reranker(spark):
     off = {r.question_idx: r for r in rag.rag_answer(lex, nodes, questions, use_reranker=False).collect()}
     assert on[0].reranked[0] == 1 and on[2].retrieved is None
     assert off[0].reranked is None and off[0].context == "\n\n".join(TEXTS[i] for i in off[0].retrieved[:5])
+
+
+def test_saved_index_answers_like_the_built_one(spark, tmp_path):
+    from askgrid.operators.lexical import bm25_topk
+    docs, questions = setup(spark)
+    built = index.build_index(docs, (300, 40), 5)
+    path = str(tmp_path / "index")
+    index.save_index(built, path, buckets=4)
+    loaded = index.load_index(spark, path)
+    rows = lambda ix: sorted(map(tuple, retrieve.retrieve_contexts(ix, questions).collect()))
+    assert rows(loaded) == rows(built)
+    queries = questions.selectExpr("question_idx AS query_id", "question AS text")
+    plan = bm25_topk(loaded.lexical, queries)._jdf.queryExecution().executedPlan().toString()
+    # the buckets take the place of a shuffle: only the best rows per task are exchanged
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    built.unpersist()
