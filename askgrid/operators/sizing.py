@@ -16,6 +16,8 @@ MAX_BROADCAST_BYTES = 64 << 20
 HOT_KEY_ROWS = 100_000
 # At most this many keys are treated as hot, so the table of hot keys is always small.
 MAX_HOT_KEYS = 10_000
+# Parts a hot key is split into where its rows cannot be met by a broadcast.
+SALTS = 64
 
 
 def _bytes(c: Column, kind: T.DataType) -> Column:
@@ -58,21 +60,23 @@ def join_hot_apart(big: DataFrame, unique: DataFrame, keys: Sequence[str], rows:
                    total_rows: int) -> DataFrame:
     """Inner join of a table with one row per key, which knows the rows of each key.
 
-    Keys that hold many rows are few by construction, so they are broadcast and their
-    rows stay where they are; all other keys go through an ordinary join.
+    Keys that hold many rows are few by construction. Where their rows of the unique side
+    fit, they are broadcast; else the big side is salted by the content of its rows and
+    the unique side is repeated per salt. All other keys go through an ordinary join.
     """
+    keys = list(keys)
     limit = max(HOT_KEY_ROWS, total_rows // MAX_HOT_KEYS)
     if total_rows <= limit:
-        return big.join(unique, list(keys))
-    hot = unique.filter(F.col(rows) > limit)
-    cold = unique.filter(F.col(rows) <= limit)
-    return (
-        big.join(F.broadcast(hot), list(keys))
-        .unionByName(
-            big.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
-            .join(cold, list(keys))
-        )
-    )
+        return big.join(unique, keys)
+    hot, cold = unique.filter(F.col(rows) > limit), unique.filter(F.col(rows) <= limit)
+    names = F.broadcast(hot.select(*keys))  # at most MAX_HOT_KEYS keys
+    apart = big.join(names, keys, "left_anti").join(cold, keys)
+    if fits_broadcast(hot):
+        return apart.unionByName(big.join(F.broadcast(hot), keys))
+    salted = big.join(names, keys, "left_semi").withColumn(
+        "_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
+    repeated = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return apart.unionByName(salted.join(repeated, [*keys, "_salt"]).drop("_salt"))
 
 
 def number_rows(df: DataFrame, key: str, out: str, start: int = 0,

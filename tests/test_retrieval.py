@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from askgrid.functions.stem import porter_stem
@@ -209,7 +210,9 @@ def test_row_numbers_over_buckets(spark):
         assert [r.n for r in by_group if r.g == g] == list(range(sum(r.g == g for r in by_group)))
 
 
-def test_join_hot_apart(spark, monkeypatch):
+@pytest.mark.parametrize("fits", [True, False])
+def test_join_hot_apart(spark, monkeypatch, fits):
+    monkeypatch.setattr(sizing, "fits_broadcast", lambda df: fits)
     monkeypatch.setattr(sizing, "HOT_KEY_ROWS", 10)
     monkeypatch.setattr(sizing, "MAX_HOT_KEYS", 5)
     big = spark.range(100).select(F.when(F.col("id") < 60, 0).otherwise(F.col("id")).alias("k"), "id")
@@ -222,3 +225,11 @@ def test_concat_in_order_over_runs(spark):
     df = spark.range(50).select(F.lit("d").alias("doc_id"), F.col("id").alias("n"), F.col("id").cast("string").alias("t")).repartition(5)
     got = sizing.concat_in_order(df, ["doc_id"], "n", "t", "-", block=8).first()
     assert got.text == "-".join(map(str, range(50)))
+
+
+def test_broadcast_needs_few_rows_and_few_bytes(spark):
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array("id").alias("a"),
+                                 F.create_map(F.lit("k"), F.lit("v")).alias("m"), F.struct("id").alias("s"))
+    assert sizing.fits_broadcast(df) and not sizing.fits_broadcast(df, max_rows=99)
+    assert not sizing.fits_broadcast(df, max_bytes=50_000)
+    assert sizing.fits_broadcast(df.limit(0))
