@@ -1,0 +1,40 @@
+"""Connected components by alternating stars; no group of links is ever gathered."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from askgrid.llm.rows import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``links`` (a, b: long, a <> b) to (node, root): root is the smallest node reachable.
+
+    Each round links every node's larger neighbours, then its smaller ones, to its smallest
+    neighbour, until nothing changes: the number of rounds grows with the logarithm of the
+    nodes. A round is aggregates and joins on the node; a node of very many links is split by
+    the join, as the other side has one row for it. Without links no rows.
+    """
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    before = mark(links)
+    while before[0]:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # larger neighbours of a node to its minimum
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("n"), "m").filter("n <> m").distinct()
+        # each node's smaller neighbours, and itself, to the smallest of them
+        least = large.groupBy("n").agg(F.min("m").alias("low"))
+        small = large.join(least, "n").select(F.explode(F.array(F.struct(F.col("m").alias("b"), F.col("low").alias("a")), F.struct(
+            F.col("n").alias("b"), F.col("low").alias("a")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+        links = written(small, "links")
+        after = mark(links)
+        if after == before:
+            break
+        before = after
+    return links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(
+        links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
