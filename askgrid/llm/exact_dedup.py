@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from askgrid.llm.rows import keep_rows, parts_for, written
 
-BLOCK_BYTES = 8192
+BLOCK_BYTES = 65536
 PART_BYTES = 24 << 20
 SALTS = 64
 

@@ -20,10 +20,12 @@ from askgrid.operators.sizing import broadcast_if_small
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
-# Per mille measures and their fences: (name, below, above). Spread is at least FLOOR of the measure.
+# Per mille measures. The distance of the quartiles counts as FLOORS at least. A short text strays
+# farther by chance: it has a further 20 / words of the floor.
 MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
-FLOORS = {"word_length": 500, "symbols": 100, "dup_lines": 100, "repeats": 100}
+FLOORS = {"word_length": 1000, "symbols": 100, "dup_lines": 100, "repeats": 100}
 FENCE = 3
+ROOM_WORDS = 20
 MIN_GROUP = 200
 
 
@@ -135,8 +137,10 @@ def _judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
     met = measures.join(right, [measures["lang"].eqNullSafe(right["r_lang"]), measures["source"].eqNullSafe(right["r_source"])], "left")
     inside = F.lit(True)
     for m in MEASURES:
-        inside = inside & (F.col(m) <= F.col(f"fence_{m}.high"))
-    inside = inside & (F.col("word_length") >= F.col("fence_word_length.low"))
+        room = F.lit(FLOORS[m] * ROOM_WORDS) / F.greatest(F.col("n_words"), F.lit(1))
+        inside = inside & (F.col(m) <= F.col(f"fence_{m}.high") + room)
+        if m == "word_length":
+            inside = inside & (F.col(m) >= F.col(f"fence_{m}.low") - room)
     return met.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
@@ -147,7 +151,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     n_repeat_words, base_failed, kept. Null or empty text: no words, base fails. Null lang or
     source is a group of its own. Rows that repeat are judged alike. Empty table: no rows.
     """
-    keyed = with_measures(measured(docs)).withColumn("lang", F.col("row.lang")).withColumn("source", F.col("row.source"))
+    # Written once: read for the sketches and again for the verdicts, and no filter is pushed into
+    # the counts, where it would make their arrays a second time.
+    keyed = written(with_measures(measured(docs)), "measures").withColumn("lang", F.col("row.lang")).withColumn("source", F.col("row.source"))
     # Fences come from texts that pass the base rules: junk must not widen what counts as usual.
     limits = written(fences(written(sketches(keyed.filter(~base_failed())), "sketches")), "fences")
     return _judged(keyed, limits).select(
