@@ -1,3 +1,118 @@
-"""DuckDB SQL for the rows of the queries that SQL can express."""
+"""DuckDB SQL for the rows of the queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+Language models, token ids, packing and fingerprints have none; tests hold those against brute
+force, exact round trips or held-out accuracy.
+"""
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+EXACT_DEDUP = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+_MEASURES = """
+each AS (SELECT doc_id, lang, source, n_words, base_failed, unnest([
+           struct_pack(m := 'word_length', v := word_chars * 1000 // greatest(n_words, 1)),
+           struct_pack(m := 'symbols', v := n_symbols * 1000 // greatest(n_words, 1)),
+           struct_pack(m := 'dup_lines', v := n_dup_lines * 1000 // greatest(n_words, 1)),
+           struct_pack(m := 'repeats', v := n_repeat_words * 1000 // greatest(n_words, 1))]) AS e FROM counts),
+values AS (SELECT * EXCLUDE (e), e.m AS m, e.v AS v,
+             CASE WHEN e.v < 32 THEN e.v ELSE (length(bin(e.v)) - 5) * 16 + (e.v >> (length(bin(e.v)) - 5)) END AS b FROM each),
+passed AS (SELECT *, CASE WHEN b < 32 THEN b ELSE (b - (b // 16 - 1) * 16) << (b // 16 - 1) END AS low FROM values WHERE NOT base_failed),
+floors(m, f) AS (VALUES ('word_length', 1000), ('symbols', 100), ('dup_lines', 100), ('repeats', 100)),
+"""
+
+
+def _level(name: str, keys: str) -> str:
+    by = f"{keys}m"
+    return f"""
+{name}_run AS (SELECT {by}, low, sum(count(*)) OVER (PARTITION BY {by} ORDER BY low) AS c,
+                 sum(count(*)) OVER (PARTITION BY {by}) AS total FROM passed GROUP BY {by}, low),
+{name} AS (SELECT {by}, q1 - 3 * greatest(q3 - q1, f) AS lo, q3 + 3 * greatest(q3 - q1, f) AS hi, total
+           FROM (SELECT {by}, min(low) FILTER (c * 4 >= total) AS q1, min(low) FILTER (c * 4 >= total * 3) AS q3,
+                   max(total) AS total FROM {name}_run GROUP BY {by}) JOIN floors USING (m)),"""
+
+
+QUALITY_RULES = f"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS words FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(words) - 3)) AS r(i)),
+twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM
+            (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+counts AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+             coalesce(covered.n, 0) AS n_repeat_words,
+             len(words) < 10 OR 100 * coalesce(covered.n, 0) > 20 * len(words) AS base_failed
+           FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
+{_MEASURES}{_level('own', 'lang, source, ')}{_level('tongue', 'lang, ')}{_level('corpus', '')}
+judged AS (SELECT v.doc_id, bool_and(coalesce(
+             v <= coalesce(own.hi, tongue.hi, corpus.hi) + f * 20 / greatest(n_words, 1)
+             AND (v.m <> 'word_length' OR v >= coalesce(own.lo, tongue.lo, corpus.lo) - f * 20 / greatest(n_words, 1)), true)) AS inside
+           FROM values v JOIN floors USING (m)
+           LEFT JOIN own ON own.total >= 200 AND own.m = v.m AND own.lang IS NOT DISTINCT FROM v.lang AND own.source IS NOT DISTINCT FROM v.source
+           LEFT JOIN tongue ON tongue.total >= 200 AND tongue.m = v.m AND tongue.lang IS NOT DISTINCT FROM v.lang
+           LEFT JOIN corpus ON corpus.m = v.m GROUP BY v.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept
+FROM counts JOIN judged USING (doc_id)
+"""
+
+
+def _escape(c: str) -> str:
+    return rf"regexp_replace({c}, '([<\[])(\\*)(s>|/s>|sep>|INST\]|/INST\])', '\1\\\2\3', 'g')"
+
+
+CHAT_FORMAT = f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+marked AS (SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS starts FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_escape('text')}) + CASE WHEN starts THEN length('<s>[INST]  [/INST]</s>') + length({_escape('role')})
+           ELSE length('<sep>') END)::BIGINT AS formatted_chars,
+       count(*) FILTER (starts) AS n_blocks
+FROM marked GROUP BY conv_id
+"""
+
+
+def _score(shard: int) -> str:
+    digest = f"md5(coalesce(doc_id::VARCHAR, 'null') || ':{shard}')"
+    return f"struct_pack(s := 1.0 / -ln((('0x' || substr({digest}, 1, 13))::BIGINT + 0.5) / 4503599627370496.0), i := {shard})"
+
+
+SHARDING = f"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
+               CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+base AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (SELECT doc_id, length(h) // 2 + 1 AS size,
+           xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32,
+           greatest({', '.join(_score(i) for i in range(8))}).i AS shard,
+           greatest({', '.join(_score(i) for i in range(9))}).i AS grown_shard FROM base, tab)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+FROM sums
+"""
+
+SUBSTRING_DEDUP = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS g FROM w, unnest(range(1, len(words) - 11)) AS r(i)),
+hit AS (SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM hit, range(13) AS r(k) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(words[i], ' ' ORDER BY i) AS t FROM
+           (SELECT w.doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w) x
+         WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(places) AS i FROM gone) g WHERE g.doc_id = x.doc_id AND g.i = x.i) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE = {
+    "op5_exact_dedup": EXACT_DEDUP,
+    "op6_quality_rules": QUALITY_RULES,
+    "op7_chat_format": CHAT_FORMAT,
+    "op9_sharding": SHARDING,
+    "op10_substring_dedup": SUBSTRING_DEDUP,
+}

@@ -51,7 +51,7 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: fl
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     shifts = placed.groupBy("shard", "part").agg(F.count("*").alias("rows")).select(
         "shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("shift"))
-    inside = F.row_number().over(W.partitionBy("shard", "part").orderBy("row_id")) - 1
+    inside = F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "row_id")) - 1
     return placed.withColumn("n", inside).join(shifts, ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("n") + F.col("shift")).cast("long").alias("slot"), "grown_shard")
