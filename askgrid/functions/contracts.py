@@ -82,8 +82,9 @@ def parse_subqueries(df: DataFrame, raw: str = "raw") -> DataFrame:
         .when(~whole.startswith("OBJECT"), BAD_JSON)
         .when(field.isNotNull() & ~field.startswith("ARRAY"), BAD_SUBQUERIES)
     )
-    items = F.from_json(reply, "struct<sotto_query:array<struct<id:int,subquery:string>>>")["sotto_query"]
-    texts = F.filter(F.transform(items, lambda i: i["subquery"]), lambda t: t.isNotNull())
+    # each item as its JSON text, so one that is no object spoils none of the others
+    items = F.from_json(reply, "struct<sotto_query:array<string>>")["sotto_query"]
+    texts = F.filter(F.transform(items, lambda i: F.from_json(i, "struct<subquery:string>")["subquery"]), lambda t: t.isNotNull())
     empty = F.array().cast("array<string>")
     return df.withColumn(
         "expand_err", F.when(err.isNotNull(), F.concat(F.lit(EXPAND_ERROR), err))

@@ -37,7 +37,8 @@ def chunk_hierarchical(docs: DataFrame, sizes: Sequence[int] = (PARENT_SIZE, CHI
     level_rows = docs.select(
         "doc_id", *carry,
         F.struct(
-            F.col("doc_id").cast("string").alias("path"),
+            # a doubled separator inside an id cannot be taken for that of a path
+            F.replace(F.col("doc_id").cast("string"), F.lit("/"), F.lit("//")).alias("path"),
             split_words("text").alias("words"),
         ).alias("_node"),
     )

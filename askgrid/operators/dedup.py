@@ -65,7 +65,7 @@ def signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(base)).cast("int")
     sets = (
         items.select("item_id", "text").repartition("item_id")
-        .select("item_id", token_set("text").alias("words"))
+        .select("item_id", F.coalesce(token_set("text"), F.array().cast("array<string>")).alias("words"))
         .select("item_id", "words", F.size("words").cast("long").alias("n"),
                 F.sha2(F.array_join("words", " "), 256).alias("sha"))
         # 120 bits of the digest as two numbers, which aggregates can keep in place
@@ -137,7 +137,8 @@ def greedy_dedup(rows: DataFrame, items: DataFrame, groups: Sequence[str], order
     signed = cut_lineage(signatures(items, threshold)) if signed is None else signed
     placed = cut_lineage(
         rows.select(*groups, F.col(order).alias("ord"), "item_id")
-        .join(signed.select("item_id", "n", "print"), "item_id")
+        .join(signed.select("item_id", "n", "print"), "item_id", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)))  # an item that is missing is an empty one
     )
     # first row of every distinct set in a group
     firsts = placed.filter(F.col("n") > 0).groupBy(*groups, "print").agg(

@@ -19,6 +19,8 @@ DIMENSION = 256
 # Query vectors reach the tasks as one matrix of at most this many bytes; more queries
 # are searched in several passes.
 MAX_QUERY_BYTES = 64 << 20
+# Queries multiplied with a batch at a time.
+QUERY_BLOCK = 256
 
 
 def vector_dimension(vectors: DataFrame) -> DataFrame:
@@ -51,6 +53,22 @@ def is_sparse(vectors: DataFrame) -> bool:
     return isinstance(vectors.schema["vector"].dataType, T.StructType)
 
 
+def searchable(vectors: DataFrame, dim: int) -> DataFrame:
+    """Vectors that can be compared with one of length ``dim``: not null, of that length, no null value."""
+    v = F.col("vector")
+    if is_sparse(vectors):
+        return vectors.filter(v.isNotNull() & (v["dim"] == dim) & ~F.exists(v["x"], F.isnull))
+    return vectors.filter(v.isNotNull() & (F.size(v) == dim) & ~F.exists(v, F.isnull))
+
+
+def rejected_vectors(vectors: DataFrame, dim: int) -> DataFrame:
+    """The rows a search for vectors of length ``dim`` leaves out."""
+    v = F.col("vector")
+    if is_sparse(vectors):
+        return vectors.filter(v.isNull() | (v["dim"] != dim) | F.exists(v["x"], F.isnull))
+    return vectors.filter(v.isNull() | (F.size(v) != dim) | F.exists(v, F.isnull))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """Rows of vectors as a matrix; sparse vectors are filled up with zeros here."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -60,7 +78,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
         m = np.zeros((len(values), dim))
         m[rows, at.flatten().to_numpy(zero_copy_only=False)] = x.flatten().to_numpy(zero_copy_only=False)
         return m
-    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    m = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    if len(m) != len(values):
+        raise ValueError("vectors of unequal length")
+    return m
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -96,7 +117,9 @@ def _search_slice(vectors: DataFrame, queries: pa.Table, k: int, cosine: bool,
             picked = []
             for j in range(len(wanted)):
                 # a quick estimate narrows the rows; the few left are measured exactly
-                rough = norms + sizes[j] - 2.0 * (rows @ wanted[j])
+                if j % QUERY_BLOCK == 0:
+                    products = rows @ wanted[j:j + QUERY_BLOCK].T
+                rough = norms + sizes[j] - 2.0 * products[:, j % QUERY_BLOCK]
                 slack = 2e-6 + 1e-12 * (norms.max() + sizes[j])
                 cut = np.partition(rough, k - 1)[k - 1] if len(rough) > k else np.inf
                 near = np.flatnonzero(rough <= cut + slack)
@@ -130,15 +153,19 @@ def _search_slice(vectors: DataFrame, queries: pa.Table, k: int, cosine: bool,
         T.StructField(value, T.DoubleType()),
         *[T.StructField(c, vectors.schema[c].dataType) for c in carry],
     ])
-    return vectors.select("node_id", "vector", *carry).mapInArrow(search, schema)
+    return searchable(vectors.select("node_id", "vector", *carry), dim).mapInArrow(search, schema)
 
 
 def _search(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool, threshold: float | None,
             value: str, carry: Sequence[str]) -> DataFrame:
     """Every task keeps its k best rows per query; only those are shuffled and ranked."""
-    queries = cut_lineage(queries.select("query_id", "vector"))
+    queries = queries.select("query_id", "vector").filter("vector is not null")
+    queries = cut_lineage(queries)
     length = vector_length(F.col("vector"), is_sparse(queries))
-    n, dim = queries.agg(F.count("*"), F.max(length)).first()
+    dim = queries.agg(F.max(length)).first()[0]
+    if dim is not None:
+        queries = searchable(queries, dim)
+    n = queries.count()
     passes = max(1, -(-n * (dim or 1) * 8 // MAX_QUERY_BYTES))
     parts = []
     for i in range(passes):
@@ -162,7 +189,9 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool, thresh
 
 def knn_l2(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, carry: Sequence[str] = ()) -> DataFrame:
     """Exact k nearest vectors of each query by squared Euclidean distance, rounded to
-    6 digits, ties by node id: (query_id, node_id, dist, carried columns, rank)."""
+    6 digits, ties by node id: (query_id, node_id, dist, carried columns, rank). Vectors that are
+    null, hold nulls or are not as long as the longest query are no neighbours of any query
+    (``rejected_vectors`` names them); such queries have no result."""
     return _search(vectors, queries, k, False, None, "dist", carry)
 
 

@@ -78,18 +78,19 @@ def infer_with(df: DataFrame, factory: InferFactory, prompt: str = "prompt", out
     return df.withColumn(out, infer(F.col(prompt)))
 
 
-def keyword_subqueries(index: LexicalIndex, questions: DataFrame, n: int = 8,
+def keyword_subqueries(index: LexicalIndex, questions: DataFrame, n: int | None = None,
                        stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """Key terms of each question, rarest in the corpus first, joined by commas:
-    (question_idx, subquery). Terms the corpus does not hold are left out."""
+    """Key terms of each question (all, or the first n), rarest in the corpus first, joined by
+    commas: (question_idx, subquery). Terms the corpus does not hold are left out."""
     terms = cut_lineage(query_terms(
         questions.select(F.col("question_idx").alias("query_id"), F.col("question").alias("text")), stop_words))
     vocabulary = broadcast_if_small(terms.select("term").distinct())
     frequency = index.postings.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(frequency, "term").withColumn("w", F.round(idf(F.col("df"), index.n_nodes), 6))
-    top = top_per_group(weighted, ["query_id"], [F.col("w").desc(), F.col("term")], n)
+    if n is not None:
+        weighted = top_per_group(weighted, ["query_id"], [F.col("w").desc(), F.col("term")], n)
     return (
-        top.groupBy(F.col("query_id").alias("question_idx"))
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("t"))
+        weighted.groupBy(F.col("query_id").alias("question_idx"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "term"))).alias("t"))
         .select("question_idx", F.array_join(F.transform("t", lambda t: t["term"]), ", ").alias("subquery"))
     )

@@ -9,13 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askgrid.session import cut_lineage
+
 # A side is broadcast only after its rows and bytes were measured and found within both.
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 # A key with more rows than this is joined apart from the others.
 HOT_KEY_ROWS = 100_000
-# At most this many keys are treated as hot, so the table of hot keys is always small.
-MAX_HOT_KEYS = 10_000
 # Parts a hot key is split into where its rows cannot be met by a broadcast.
 SALTS = 64
 
@@ -65,11 +65,10 @@ def join_hot_apart(big: DataFrame, unique: DataFrame, keys: Sequence[str], rows:
     the unique side is repeated per salt. All other keys go through an ordinary join.
     """
     keys = list(keys)
-    limit = max(HOT_KEY_ROWS, total_rows // MAX_HOT_KEYS)
-    if total_rows <= limit:
+    if total_rows <= HOT_KEY_ROWS:
         return big.join(unique, keys)
-    hot, cold = unique.filter(F.col(rows) > limit), unique.filter(F.col(rows) <= limit)
-    names = F.broadcast(hot.select(*keys))  # at most MAX_HOT_KEYS keys
+    hot, cold = unique.filter(F.col(rows) > HOT_KEY_ROWS), unique.filter(F.col(rows) <= HOT_KEY_ROWS)
+    names = broadcast_if_small(hot.select(*keys))
     apart = big.join(names, keys, "left_anti").join(cold, keys)
     if fits_broadcast(hot):
         return apart.unionByName(big.join(F.broadcast(hot), keys))
@@ -80,34 +79,29 @@ def join_hot_apart(big: DataFrame, unique: DataFrame, keys: Sequence[str], rows:
 
 
 def number_rows(df: DataFrame, key: str, out: str, start: int = 0,
-                partition_by: Sequence[str] = (), bucket_rows: int = 200_000) -> DataFrame:
-    """Dense row numbers in the order of a distinct numeric key, without sorting
-    everything (or one large group) in one task.
+                partition_by: Sequence[str] = (), part_rows: int = 200_000) -> DataFrame:
+    """Dense row numbers in the order of a distinct key, without sorting everything (or one
+    large group) in one task.
 
-    Quantiles cut the key range into buckets of about ``bucket_rows``; rows are numbered
-    inside their bucket and shifted by the rows of the buckets before it. Only the row
-    count and the quantiles (at most 1,023) reach the driver.
+    Rows are dealt into ranges of the key, about ``part_rows`` each, and counted on inside their
+    range; the rows of the ranges before it are added. Any number of ranges will do.
     """
     groups = list(partition_by)
-    buckets = min(1024, df.count() // bucket_rows + 1)
-    bucket = F.lit(0)
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = df.select(F.percentile_approx(F.col(key).cast("long"), probs, 10_000)).first()[0]
-        below = F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(key))
-        bucket = F.size(below)
-    placed = df.withColumn("_bucket", bucket)
-    before = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    shifts = placed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_rows")).select(
-        *groups, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"),
-    )
-    inside = W.partitionBy(*groups, "_bucket").orderBy(key)
-    return (
-        placed.withColumn("_inside", F.row_number().over(inside))
-        .join(shifts, [*groups, "_bucket"])
-        .withColumn(out, (F.col("_inside") + F.col("_shift") - 1 + F.lit(start)).cast("long"))
-        .drop("_bucket", "_inside", "_shift")
+    parts = df.count() // part_rows + 1
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = cut_lineage(
+        df.repartitionByRange(parts, *groups, key).sortWithinPartitions(*groups, key)
+        .withColumn("_part", F.spark_partition_id()).withColumn("_row", within))
+    before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = dealt.groupBy(*groups, "_part").agg(F.count("*").alias("_rows"), F.min("_row").alias("_first")).select(
+        *[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_part").alias("_p"),
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
+    same = dealt["_part"] == shifts["_p"]
+    for g in groups:
+        same = same & dealt[g].eqNullSafe(shifts[f"_g_{g}"])
+    return dealt.join(broadcast_if_small(shifts), same).withColumn(
+        out, (F.col("_row") + F.col("_shift") + F.lit(start)).cast("long")).select(*df.columns, out)
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int,

@@ -181,7 +181,7 @@ def keywords(name: str, index: str, corpus: str) -> str:
 {name} AS MATERIALIZED (
   SELECT query_id AS question_idx, string_agg(term, ', ' ORDER BY r) AS subquery FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, term) AS r FROM {name}_w)
-  WHERE r <= 8 GROUP BY query_id)"""
+  GROUP BY query_id)"""
 
 
 def with_(*ctes: str) -> str:
@@ -194,9 +194,9 @@ NODES = "SELECT node_id FROM nodes"
 DOC_BM25 = with_(DOC_INDEX, bm25("hits", "doc_postings", DOCS, QUESTIONS, 15))
 
 
-def scored_documents() -> str:
+def scored_documents(k: int = 15) -> str:
     return with_(
-        DOC_INDEX, bm25("hits", "doc_postings", DOCS, QUESTIONS, 15),
+        DOC_INDEX, bm25("hits", "doc_postings", DOCS, QUESTIONS, k),
         "cands AS (SELECT query_id AS question_idx, node_id, score AS bm25, rank AS idx FROM hits)",
         cosine("cos", "cands", "doc_postings"),
         "scored AS MATERIALIZED (SELECT c.*, s.score FROM cands c JOIN cos s USING (question_idx, node_id))",
@@ -249,13 +249,13 @@ vecs AS MATERIALIZED (SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS v
 QUESTION_ROWS = """SELECT CAST(substr(source, 4) AS INT) AS sheet_no, source AS sheet, doc_id AS row_no,
  CASE WHEN quality IS NOT NULL THEN text END AS question FROM documents LEFT JOIN labels USING (doc_id)"""
 
-SUBQUERY_REPLY = r"""SELECT doc_id, doc_id % 5 AS kind, substr(text, 1, 60) AS head FROM documents"""
+SUBQUERY_REPLY = r"""SELECT doc_id, doc_id % 5 AS kind, text AS head FROM documents"""
 ANSWER_PARSED = """SELECT doc_id,
  CASE doc_id % 5 WHEN 1 THEN 'Errore durante la generazione della risposta: JSON di risposta non valido o incompleto'
   WHEN 2 THEN 'Errore durante la generazione della risposta: JSON di risposta non valido o incompleto'
   WHEN 4 THEN 'Errore durante la generazione della risposta: JSON non leggibile' END AS answer_err,
  CASE doc_id % 5 WHEN 0 THEN 'Si' WHEN 3 THEN 'Forse' END AS response,
- CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 60) WHEN 3 THEN '?' END AS justification, source FROM documents"""
+ CASE doc_id % 5 WHEN 0 THEN text WHEN 3 THEN '?' END AS justification, source FROM documents"""
 
 MESSAGES = """'[' || to_json({{'role': 'system', 'content': 'S'}}) || ',' || to_json({{'role': 'user', 'content': {}}}) || ']'"""
 
@@ -409,8 +409,7 @@ ORACLE: dict[str, str] = {
     + "SELECT query_id, node_id, dist, merged, rank FROM dense",
     "join_docstore": with_(CHUNKS, NODE_INDEX, bm25("hits", "node_postings", NODES, QUESTIONS, 5))
     + "SELECT query_id, rank, node_id, text FROM hits JOIN nodes USING (node_id)",
-    "join_rank_to_context": scored_documents() + """SELECT question_idx, idx, rank, substr(text, 1, 100) AS opening,
- CAST(length(text) AS INT) AS length FROM ranked JOIN documents ON doc_id = node_id WHERE rank <= 5""",
+    "join_rank_to_context": scored_documents() + """SELECT question_idx, idx, rank, text FROM ranked JOIN documents ON doc_id = node_id WHERE rank <= 5""",
     "dedup_jaccard": with_(greedy("dd", "SELECT lang AS g, doc_id AS ord, text FROM documents"))
     + "SELECT g AS lang, ord AS doc_id FROM dd WHERE kept",
     "jaccard_pairs_corpus": with_(greedy("dd", "SELECT 1 AS g, doc_id AS ord, text FROM documents"))
@@ -427,9 +426,10 @@ ORACLE: dict[str, str] = {
     "rerank_metrics": """SELECT event_type AS device, count(*) AS total_queries, round(sum(value), 4) AS total_time,
  round(sum(value) / greatest(count(*), 1), 4) AS average_time_per_query FROM events GROUP BY event_type""",
     "stage_metrics": """SELECT query_id, round(v, 4) AS view_time, round(c, 4) AS click_time, round(p, 4) AS purchase_time,
- round(v + c + p, 4) AS total_time FROM (SELECT user_id AS query_id,
+ round(s, 4) AS signup_time, round(e, 4) AS error_time, round(v + c + p + s + e, 4) AS total_time FROM (SELECT user_id AS query_id,
   coalesce(sum(value) FILTER (event_type = 'view'), 0) AS v, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS c,
-  coalesce(sum(value) FILTER (event_type = 'purchase'), 0) AS p FROM events GROUP BY user_id)""",
+  coalesce(sum(value) FILTER (event_type = 'purchase'), 0) AS p, coalesce(sum(value) FILTER (event_type = 'signup'), 0) AS s,
+  coalesce(sum(value) FILTER (event_type = 'error'), 0) AS e FROM events GROUP BY user_id)""",
     "dedup_counts": with_(greedy("dd", "SELECT lang AS g, doc_id AS ord, text FROM documents"))
     + "SELECT g AS lang, count(*) AS n_before, count(*) FILTER (kept) AS n_after FROM dd GROUP BY g",
     "exists_any": "SELECT coalesce(bool_or(event_type = 'error' AND value > 400), false) AS found FROM events",
@@ -446,10 +446,10 @@ ORACLE: dict[str, str] = {
     "rerank_keep_original": scored_documents()
     + "SELECT question_idx, node_id, score, bm25 AS original_score, rank FROM ranked WHERE rank <= 5",
     "top5_contexts": scored_documents() + "SELECT question_idx, rank, node_id, score FROM ranked WHERE rank <= 5",
-    "limit_k_prerank": scored_documents() + """SELECT question_idx, reranked, rank, node_id, retrieval_rank FROM (
+    "limit_k_prerank": scored_documents(20) + """SELECT question_idx, reranked, rank, node_id, retrieval_rank FROM (
  SELECT question_idx, true AS reranked, CAST(row_number() OVER (PARTITION BY question_idx ORDER BY score DESC, idx) AS INT) AS rank,
-  node_id, idx AS retrieval_rank FROM scored WHERE idx <= 10
- UNION ALL SELECT question_idx, false, idx, node_id, idx FROM scored WHERE idx <= 10) WHERE rank <= 5""",
+  node_id, idx AS retrieval_rank FROM scored WHERE idx <= 20
+ UNION ALL SELECT question_idx, false, idx, node_id, idx FROM scored WHERE idx <= 20) WHERE rank <= 5""",
     "hybrid_union": with_(CHUNKS, NODE_INDEX, *hybrid(QUESTIONS))
     + "SELECT query_id, node_id, rank, source_order FROM found",
     "union_subqueries": with_(*candidate_ctes()) + "SELECT * FROM cands",

@@ -425,8 +425,8 @@ def join_docstore(t: Tables) -> DataFrame:
     return candidates.join_docstore(hits, t.index.nodes).select("query_id", "rank", "node_id", "text")
 
 
-def _scored_documents(t: Tables) -> DataFrame:
-    hits = cut_lineage(lexical.bm25_topk(t.lexical, t.queries).select(
+def _scored_documents(t: Tables, k: int = lexical.TOP_K) -> DataFrame:
+    hits = cut_lineage(lexical.bm25_topk(t.lexical, t.queries, k).select(
         F.col("query_id").alias("question_idx"), "node_id", F.col("score").alias("bm25"),
         F.col("rank").alias("idx")))
     return reranking.cosine_scores(hits, t.questions, t.lexical.postings)
@@ -437,7 +437,7 @@ def join_rank_to_context(t: Tables) -> DataFrame:
     ranked = cut_lineage(reranking.rerank_topn(_scored_documents(t), ["question_idx"], reranking.CONTEXTS_KEPT))
     nodes = t.documents.select(F.col("doc_id").alias("node_id"), "text")
     return candidates.join_docstore(ranked.select("question_idx", "idx", "rank", "node_id"), nodes).select(
-        "question_idx", "idx", "rank", F.substring("text", 1, 100).alias("opening"), F.length("text").alias("length"))
+        "question_idx", "idx", "rank", "text")
 
 
 def _document_lists(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -498,7 +498,7 @@ def rerank_metrics(t: Tables) -> DataFrame:
 def stage_metrics(t: Tables) -> DataFrame:
     log = t.events.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("stage"),
                           F.col("value").alias("elapsed_s"))
-    out = metrics.stage_metrics(log, stages=("view", "click", "purchase"))
+    out = metrics.stage_metrics(log, stages=("view", "click", "purchase", "signup", "error"))
     return out.withColumns({c: F.round(c, 4) for c in out.columns if c != "query_id"})
 
 
@@ -558,9 +558,9 @@ def top5_contexts(t: Tables) -> DataFrame:
 
 @query
 def limit_k_prerank(t: Tables) -> DataFrame:
-    scored = _scored_documents(t)
-    on = reranking.limit_prerank(scored, ["question_idx"], True, 10, 5).withColumn("reranked", F.lit(True))
-    off = reranking.limit_prerank(scored, ["question_idx"], False, 10, 5).withColumn("reranked", F.lit(False))
+    scored = _scored_documents(t, reranking.TOP_K_RETRIEVAL)
+    on = reranking.limit_prerank(scored, ["question_idx"], True).withColumn("reranked", F.lit(True))
+    off = reranking.limit_prerank(scored, ["question_idx"], False).withColumn("reranked", F.lit(False))
     return on.unionByName(off).select("question_idx", "reranked", "rank", "node_id", "retrieval_rank")
 
 
@@ -607,7 +607,7 @@ def tokenize_terms(t: Tables) -> DataFrame:
 @query
 def parse_subqueries(t: Tables) -> DataFrame:
     kind = F.col("doc_id") % 5
-    item = F.struct(F.lit(1).alias("id"), F.substring("text", 1, 60).alias("subquery"))
+    item = F.struct(F.lit(1).alias("id"), F.col("text").alias("subquery"))
     raw = (
         F.when(kind == 0, F.to_json(F.struct(F.array(item, item).alias("sotto_query"))))
         .when(kind == 1, '{"altro": 1}').when(kind == 2, '{"sotto_query": "uno"}')
@@ -621,7 +621,7 @@ def parse_subqueries(t: Tables) -> DataFrame:
 def _answer_replies(t: Tables) -> DataFrame:
     kind = F.col("doc_id") % 5
     raw = (
-        F.when(kind == 0, F.to_json(F.struct(F.lit("Si").alias("response"), F.substring("text", 1, 60).alias("justification"))))
+        F.when(kind == 0, F.to_json(F.struct(F.lit("Si").alias("response"), F.col("text").alias("justification"))))
         .when(kind == 1, '{"response": "No"}').when(kind == 2, '[1, 2]')
         .when(kind == 3, '{"response": "Forse", "justification": "?"}').otherwise('{"response": ')
     )
@@ -681,7 +681,8 @@ def map_lookup_default(t: Tables) -> DataFrame:
 def stream_questions(t: Tables) -> DataFrame:
     out, state = scratch_path(t.spark, "stream"), scratch_path(t.spark, "state")
     run = question_stream.stream_questions(
-        t.spark, t.lexical, t.folder, "item_id long, text string", out, state, pattern="benchmark.parquet")
+        t.spark, t.lexical, t.folder, "item_id long, text string", out, state, pattern="benchmark.parquet",
+        id_column="item_id")
     run.awaitTermination()
     return t.spark.read.parquet(out).drop("batch_id")
 

@@ -55,8 +55,8 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    Only where neither the session nor its context names one (tests on one
-    machine) is a temporary folder made and set.
+    Only where neither the session nor its context names one and the master is local (tests on
+    one machine) is a temporary folder made and set; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -65,6 +65,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="askgrid-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

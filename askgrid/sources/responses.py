@@ -39,25 +39,33 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 def update_responses(stored: DataFrame, updates: DataFrame, key: str = "question_id") -> DataFrame:
     """Stored rows with new answer, justification, context and time where their key has an
-    update (one per key); every row of that key is changed, a new value may be null, and a
-    key that is not stored changes nothing. To be written to a new path."""
-    fresh = updates.select(
-        key, F.lit(True).alias("_hit"), *[F.col(v).alias(f"_{v}") for v in VALUES])
+    update; every row of that key is changed, a new value may be null, and a key that is not
+    stored changes nothing. Of several updates of a key the one with the latest time counts, of
+    equal times the largest values. To be written to a new path."""
+    latest = updates.groupBy(key).agg(F.max(F.struct("ts", *[F.col(v).alias(f"_{v}") for v in VALUES])).alias("_u"))
+    fresh = latest.select(key, F.lit(True).alias("_hit"), *[f"_u._{v}" for v in VALUES])
     joined = stored.join(broadcast_if_small(fresh), key, "left")
     changed = {v: F.when(F.col("_hit"), F.col(f"_{v}")).otherwise(F.col(v)) for v in VALUES}
     return joined.withColumns(changed).select(*stored.columns)
 
 
 def latest_responses(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The latest row per key. The aggregate keeps one row per key in each task before the
+    """The latest row per key. A null version is older than every other; of equal versions the
+    largest values count. The aggregate keeps one row per key in each task before the
     shuffle, so a key answered very often is no heavier than others."""
     values = [c for c in rows.columns if c not in keys]
     return (
-        rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(version)).alias("_r"))
+        rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(version, *values)).alias("_r"))
         .select(*keys, "_r.*").select(*rows.columns)
     )
 
 
 def upsert_responses(stored: DataFrame, answers: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """First answers insert, repeated ones update: the latest version of stored and new rows."""
-    return latest_responses(stored.unionByName(answers, allowMissingColumns=True), keys, version)
+    """First answers insert, repeated ones update: the latest version of stored and new rows.
+    Stored rows may lack a version and are then older than every answer; of equal versions the
+    new row counts."""
+    if version not in answers.columns:
+        raise ValueError(f"answers have no column {version}")
+    both = stored.withColumn("_new", F.lit(0)).unionByName(answers.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    order = F.struct(version, "_new").alias("_order")
+    return latest_responses(both.select("*", order).drop("_new"), keys, "_order").drop("_order")

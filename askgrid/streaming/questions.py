@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,8 +13,8 @@ from askgrid.operators.lexical import TOP_K, LexicalIndex, bm25_topk
 
 def stream_questions(spark: SparkSession, index: LexicalIndex, source: str, schema: str, out: str,
                      checkpoint: str, k: int = TOP_K, pattern: str = "*.parquet",
-                     files_per_batch: int = 100) -> StreamingQuery:
-    """Retrieve for every new file of questions (query_id, text) and add the results to
+                     files_per_batch: int = 100, id_column: str = "query_id") -> StreamingQuery:
+    """Retrieve for every new file of questions (``id_column``, text) and add the results to
     ``out``. Each batch owns one folder that a repeated run overwrites, so a batch that is
     retried after a failure is stored once."""
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -24,6 +25,6 @@ def stream_questions(spark: SparkSession, index: LexicalIndex, source: str, sche
         .option("maxFilesPerTrigger", files_per_batch).parquet(source)
     )
     return (
-        stream.selectExpr("item_id AS query_id", "text").writeStream.foreachBatch(store)
+        stream.select(F.col(id_column).alias("query_id"), "text").writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
