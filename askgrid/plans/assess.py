@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.functions.contracts import answer_prompt, parse_answer
-from askgrid.operators.models import InferFactory, infer_with
+from askgrid.operators.models import InferFactory, ScoreFactory, infer_with
 from askgrid.operators.reranking import contexts_per_question
 from askgrid.operators.selection import question_ids, route_outcome, saved_rows, select_context
-from askgrid.plans.expand import expand_questions
+from askgrid.plans.expand import expand_questions, model_replies
 from askgrid.plans.index import RetrievalIndex
 from askgrid.plans.retrieve import retrieve_contexts
 from askgrid.session import cut_lineage
@@ -28,15 +28,21 @@ def answer_questions(selected: DataFrame, replies: DataFrame) -> DataFrame:
     return parse_answer(selected.join(replies, "question_idx", "left"))
 
 
-def assess_questionnaire(index: RetrievalIndex, questions: DataFrame, expansions: DataFrame,
-                         selections: DataFrame, answers: DataFrame, start_id: int = 0) -> DataFrame:
+def assess_questionnaire(index: RetrievalIndex, questions: DataFrame, expansions: DataFrame | InferFactory,
+                         selections: DataFrame, answers: DataFrame | InferFactory, start_id: int = 0,
+                         score: ScoreFactory | None = None) -> DataFrame:
     """Rows to store (question_id, question_idx, question, answer, context, justification).
 
-    Expansions and answers are model replies (question_idx, raw), selections are choices
+    Expansions and answers are model replies (question_idx, raw), or the models that give them:
+    the answer prompt then holds the context that was selected. Selections are choices
     (question_idx, choice). Every question leads to one outcome; an interrupt ends the run.
+    Only questions whose expansion can be read are retrieved.
     """
+    if callable(expansions):
+        expansions = cut_lineage(model_replies(questions, expansions))
     subqueries, status = expand_questions(questions, expansions)
-    contexts = contexts_per_question(retrieve_contexts(index, questions, subqueries))
+    expanded = questions.join(status.filter("expand_err is null").select("question_idx"), "question_idx", "left_semi")
+    contexts = contexts_per_question(retrieve_contexts(index, expanded, subqueries, score=score))
     staged = (
         questions.join(status, "question_idx", "left").join(contexts, "question_idx", "left")
         .join(selections, "question_idx", "left")
@@ -44,7 +50,11 @@ def assess_questionnaire(index: RetrievalIndex, questions: DataFrame, expansions
         .withColumn("n_left", F.size("contexts"))
         .withColumn("rerank_err", F.lit(None).cast("string"))
     )
-    answered = answer_questions(select_context(staged), answers)
+    selected = select_context(staged)
+    if callable(answers):
+        selected = cut_lineage(selected)
+        answers = cut_lineage(answer_replies(selected, answers))
+    answered = answer_questions(selected, answers)
     rows = saved_rows(cut_lineage(route_outcome(answered)))
     return question_ids(rows, start_id).select(
         "question_id", "question_idx", "question", "answer", "context", F.col("reason").alias("justification"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from askgrid.functions.text import ENGLISH_STOP_WORDS
 from askgrid.operators.chunking import CHILD_SIZE, OVERLAP, PARENT_SIZE, chunk_hierarchical
 from askgrid.operators.dense import hashed_vectors
+from askgrid.operators.models import EmbedFactory, embed_with
 from askgrid.operators.lexical import LexicalIndex, build_lexical_index, term_postings
 from askgrid.operators.sizing import spread
 from askgrid.session import scratch_path
@@ -27,9 +28,12 @@ class RetrievalIndex:
     lexical: LexicalIndex  # of all nodes
     vectors: DataFrame    # node_id, parent_id, n_siblings, vector - of the leaves
     stop_words: tuple[str, ...]
+    embed: EmbedFactory | None = None  # the model that made the vectors; queries need the same
 
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         """Vectors of queries (query_id, text), made like those of the nodes."""
+        if self.embed is not None:
+            return embed_with(queries.select("query_id", "text"), self.embed).drop("text")
         terms = term_postings(queries.withColumnRenamed("query_id", "node_id"), self.stop_words)
         return hashed_vectors(terms).withColumnRenamed("node_id", "query_id")
 
@@ -39,9 +43,10 @@ class RetrievalIndex:
 
 
 def build_index(docs: DataFrame, sizes: Sequence[int] = (PARENT_SIZE, CHILD_SIZE), overlap: int = OVERLAP,
-                stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> RetrievalIndex:
+                stop_words: Iterable[str] = ENGLISH_STOP_WORDS, embed: EmbedFactory | None = None) -> RetrievalIndex:
     """Chunk documents (doc_id, text) and index the nodes: one pass over the documents, one
-    shuffle of node texts; the vectors are made from the term table where it lies.
+    shuffle of node texts; the vectors are made from the term table where it lies, or by a model
+    (``embed``) from the texts of the leaves.
 
     Nodes are written as a table in the shared folder, from which each step reads only the
     columns it needs. The term table and the vectors are cached, as that keeps their
@@ -54,8 +59,12 @@ def build_index(docs: DataFrame, sizes: Sequence[int] = (PARENT_SIZE, CHILD_SIZE
     nodes = spark.read.parquet(path)
     lexical = build_lexical_index(nodes, words, keep=TREE)
     leaves = lexical.postings.filter(F.col("level") == len(sizes) - 1)
-    vectors = hashed_vectors(leaves, keep=("parent_id", "n_siblings")).persist(StorageLevel.MEMORY_AND_DISK)
-    return RetrievalIndex(nodes, lexical, vectors, words)
+    if embed is None:
+        vectors = hashed_vectors(leaves, keep=("parent_id", "n_siblings"))
+    else:
+        texts = nodes.filter(F.col("level") == len(sizes) - 1).select("node_id", "parent_id", "n_siblings", "text")
+        vectors = embed_with(texts.filter("text is not null"), embed).drop("text")
+    return RetrievalIndex(nodes, lexical, vectors.persist(StorageLevel.MEMORY_AND_DISK), words, embed)
 
 
 def save_index(index: RetrievalIndex, path: str, buckets: int = 200) -> None:
@@ -74,8 +83,9 @@ def save_index(index: RetrievalIndex, path: str, buckets: int = 200) -> None:
     ).coalesce(1).write.parquet(os.path.join(path, "facts"))
 
 
-def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
-    """An index saved by save_index, read from its tables instead of being built."""
+def load_index(spark: SparkSession, path: str, embed: EmbedFactory | None = None) -> RetrievalIndex:
+    """An index saved by save_index, read from its tables instead of being built. ``embed`` is the
+    model it was built with, if any."""
     facts = spark.read.parquet(os.path.join(path, "facts")).first()
     place = os.path.join(path, "postings")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(place).schema)
@@ -87,7 +97,7 @@ def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
     lexical = LexicalIndex(spark.table(table), facts.n_nodes, facts.avg_len)
     return RetrievalIndex(
         spark.read.parquet(os.path.join(path, "nodes")), lexical,
-        spark.read.parquet(os.path.join(path, "vectors")), tuple(facts.stop_words),
+        spark.read.parquet(os.path.join(path, "vectors")), tuple(facts.stop_words), embed,
     )
 
 

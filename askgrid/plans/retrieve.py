@@ -9,6 +9,8 @@ from askgrid.operators.candidates import hybrid_union, join_docstore, query_tabl
 from askgrid.operators.dedup import THRESHOLD, greedy_dedup
 from askgrid.operators.dense import knn_l2
 from askgrid.operators.lexical import TOP_K, bm25_topk
+from askgrid.operators.models import ScoreFactory, score_with
+from askgrid.operators.sizing import broadcast_if_small
 from askgrid.operators.merging import MERGE_RATIO, auto_merge
 from askgrid.operators.reranking import CONTEXTS_KEPT, cosine_scores, rerank_topn
 from askgrid.plans.index import RetrievalIndex
@@ -46,19 +48,24 @@ def dedup_candidates(candidates: DataFrame, texts: DataFrame, threshold: float =
 
 
 def rank_contexts(index: RetrievalIndex, questions: DataFrame, marked: DataFrame, texts: DataFrame,
-                  top: int | None = CONTEXTS_KEPT) -> DataFrame:
+                  top: int | None = CONTEXTS_KEPT, score: ScoreFactory | None = None) -> DataFrame:
     """Best contexts against the question itself, never a sub-query:
-    (question_idx, rank, node_id, score, text)."""
+    (question_idx, rank, node_id, score, text). Scored by a model where one is given, else by
+    the cosine of term counts."""
     pairs = marked.filter("kept").select("question_idx", "ord", "node_id")
-    scored = cosine_scores(pairs, questions, index.lexical.postings, index.stop_words)
+    if score is None:
+        scored = cosine_scores(pairs, questions, index.lexical.postings, index.stop_words)
+    else:
+        asked = join_docstore(pairs, texts).join(broadcast_if_small(questions.select("question_idx", "question")), "question_idx")
+        scored = score_with(asked, score).select("question_idx", "ord", "node_id", "score")
     ranked = rerank_topn(scored, ["question_idx"], top, idx="ord")
     return join_docstore(cut_lineage(ranked.select("question_idx", "rank", "node_id", "score")), texts)
 
 
 def retrieve_contexts(index: RetrievalIndex, questions: DataFrame, subqueries: DataFrame | None = None,
-                      top: int | None = CONTEXTS_KEPT) -> DataFrame:
+                      top: int | None = CONTEXTS_KEPT, score: ScoreFactory | None = None) -> DataFrame:
     """Questions (question_idx, question) with sub-queries (question_idx, subquery_no, subquery)
     to their top contexts: retrieve, expand, de-duplicate, rerank, keep the best."""
     candidates = candidate_lists(index, questions, subqueries)
     texts = candidate_texts(index, candidates)
-    return rank_contexts(index, questions, dedup_candidates(candidates, texts), texts, top)
+    return rank_contexts(index, questions, dedup_candidates(candidates, texts), texts, top, score)

@@ -94,3 +94,38 @@ def test_saved_index_answers_like_the_built_one(spark, tmp_path):
     # the buckets take the place of a shuffle: only the best rows per task are exchanged
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     built.unpersist()
+
+
+def test_models_take_part_in_the_plans(spark):
+    """Every slot by a model whose decisions can be told from those of the defaults."""
+    docs, questions = setup(spark)
+
+    def embed():
+        return lambda texts: [[float(len(t)), float(t.lower().count("backup"))] for t in texts]
+
+    def score():
+        return lambda asked, texts: [float(-len(t)) for t in texts]
+
+    def expand_model():
+        return lambda prompts: ['{"sotto_query": [{"id": 1, "subquery": "incident response"}]}' if "incidents" in p else "no json" for p in prompts]
+
+    def answer_model():
+        return lambda prompts: ['{"response": "Si", "justification": "%d"}' % ("Incident response" in p) for p in prompts]
+
+    ix = index.build_index(docs, (300, 40), 5, embed=embed)
+    assert ix.vectors.first().vector is not None and len(ix.query_vectors(questions.selectExpr("question_idx query_id", "question text")).first().vector) == 2
+    ranked = retrieve.retrieve_contexts(ix, questions, score=score).collect()
+    for q in {r.question_idx for r in ranked}:
+        lengths = [len(r.text) for r in sorted(ranked, key=lambda r: r["rank"]) if r.question_idx == q]
+        assert lengths == sorted(lengths)
+    choices = questions.selectExpr("question_idx", "'1' choice")
+    rows = {r.question_idx: r for r in assess.assess_questionnaire(ix, questions, expand_model, choices, answer_model, score=score).collect()}
+    assert rows[3].answer == "Si" and rows[3].context and rows[3].justification in ("0", "1")
+    assert rows[1].answer != "Si" and rows[1].context is None
+    nodes = docs.selectExpr("doc_id node_id", "text")
+    from askgrid.operators.lexical import build_lexical_index
+
+    lexical = build_lexical_index(nodes)
+    out = rag.rag_answer(lexical, nodes, questions, score=score, generate=answer_model).collect()
+    assert all('"response"' in r.response for r in out)
+    ix.unpersist()
