@@ -22,6 +22,8 @@ has several times, so a passage in a third of all rows arrives at most once per
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,10 +34,10 @@ from askgrid.llm.rows import parts_for
 
 WINDOW = 13
 GRAM = 6
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 GROUP_RECORDS = 20_000  # records of one anchor, beyond which its prefix is made longer
 NO_ID = np.iinfo(np.int64).max  # a null id: larger than every other
-MEMO = 800_000
+MEMO = 150_000
 ONE, MULTI, LONG = 0, 1, 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,61 +69,58 @@ def _grams(h: np.ndarray, size: int) -> np.ndarray:
     return _mix(g)
 
 
-class Records:
-    """Records of one document: windows first..last have the same anchor."""
-
-    __slots__ = ("anchor", "first", "last", "content", "windows")
-
-    def __init__(self, words: list[bytes], window: int, gram: int):
-        n = len(words) - window + 1
-        if n < 1:
-            self.anchor = np.zeros(0, np.uint64)
-            self.first = self.last = np.zeros(0, np.int64)
-            self.content = self.windows = self.anchor
-            return
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-        g = _grams(h, gram)
-        low, at = g[:n].copy(), np.zeros(n, np.int64)
-        for j in range(1, window - gram + 1):
-            other = g[j:j + n]
-            less = other < low
-            np.copyto(low, other, where=less)
-            at[less] = j
-        at += np.arange(n)
-        new = np.concatenate([[True], at[1:] != at[:-1]])
-        self.first = np.flatnonzero(new)
-        self.last = np.append(self.first[1:] - 1, n - 1)
-        self.anchor = low[self.first]
-        self.windows = _grams(h, window)
-        self.content = self.windows[self.first] * _P + self.windows[self.last] * np.uint64(3) + (self.last - self.first).astype(np.uint64)
-
-
 class Chunk:
-    """Documents of a chunk in a fixed order, and the distinct anchors they have."""
+    """Documents of a chunk in a fixed order, their records, and the distinct anchors they have.
+
+    All words lie in one list; a record is windows ``first`` to ``last`` of it, which have the same
+    anchor. Windows that reach into the next document are none.
+    """
 
     def __init__(self, docs: pa.Table, window: int, gram: int, buckets: int):
         ids = docs.column("doc_id").to_pylist()
         texts = docs.column("text").to_pylist()
         # rows arrive in any order; equal rows are alike
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        self.ids = [NO_ID if ids[i] is None else ids[i] for i in self.order]
-        self.texts = [texts[i] for i in self.order]
-        self.window, self.gram, self.buckets = window, gram, buckets
-        self.records = [Records(t.split(), window, gram) for t in self.texts]
-        sizes = [len(r.anchor) for r in self.records]
-        every = np.concatenate([r.anchor for r in self.records]) if sizes else np.zeros(0, np.uint64)
-        self.anchors, self.place = np.unique(every, return_inverse=True)
-        self.ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.owner = np.repeat(np.array(self.ids, np.int64), sizes)
+        self.ids = np.array([NO_ID if ids[i] is None else ids[i] for i in self.order], np.int64)
+        self.words: list[bytes] = []
+        ends = []
+        for i in self.order:
+            self.words += texts[i].split()
+            ends.append(len(self.words))
+        self.ends, self.window, self.buckets = np.array(ends, np.int64), window, buckets
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        n = max(0, len(self.words) - window + 1)
+        h = np.fromiter(map(_words.__getitem__, self.words), np.uint64, len(self.words))
+        if n:
+            g = _grams(h, gram)
+            low, at = g[:n].copy(), np.zeros(n, np.int8)
+            for j in range(1, window - gram + 1):
+                less = g[j:j + n] < low
+                np.copyto(low, g[j:j + n], where=less)
+                at[less] = j
+            self.doc = np.repeat(np.arange(len(ends)), self.ends - self.starts)
+            inside = np.flatnonzero(np.arange(window, n + window) <= self.ends[self.doc[:n]])
+            place = inside + at[inside]
+            new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(inside) else inside
+            self.first = inside[new]
+            self.last = inside[np.append(new[1:] - 1, len(inside) - 1)] if len(inside) else inside
+            anchor = low[self.first]
+            self.windows = _grams(h, window)
+        else:
+            self.doc = self.first = self.last = np.zeros(0, np.int64)
+            anchor = self.windows = np.zeros(0, np.uint64)
+        self.anchors, self.place = np.unique(anchor, return_inverse=True)
+        self.record_doc = self.doc[self.first]
         self.bounds = bounds(self.anchors, buckets)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Per anchor: whether two ids have it here; how many distinct records (255 at most)."""
         n = len(self.anchors)
+        owner = self.ids[self.record_doc]
         low, high = np.full(n, NO_ID), np.full(n, np.iinfo(np.int64).min)
-        np.minimum.at(low, self.place, self.owner)
-        np.maximum.at(high, self.place, self.owner)
-        content = np.concatenate([r.content for r in self.records]) if self.records else np.zeros(0, np.uint64)
+        np.minimum.at(low, self.place, owner)
+        np.maximum.at(high, self.place, owner)
+        content = self.windows[self.first] * _P + self.windows[self.last] * np.uint64(3) + (self.last - self.first).astype(np.uint64)
         order = np.lexsort((content, self.place))
         p, c = self.place[order], content[order]
         new = np.ones(len(p), bool)
@@ -129,32 +128,29 @@ class Chunk:
         return low < high, np.minimum(np.bincount(p[new], minlength=n), 255).astype(np.uint8)
 
     def chosen(self, codes: np.ndarray):
-        """Distinct records to send, in order of their first place: lists of key, text and windows,
-        smallest id of each, and for every document (first window, windows, record)."""
-        keys, texts, width, low, index, where = [], [], [], [], {}, []
+        """Distinct records to send, in order of their first place: lists of key, text, windows and
+        smallest id; and arrays of all places they come from: first window, windows, record."""
         code = codes[self.place]
-        for d, r in enumerate(self.records):
-            a, b = self.ends[d], self.ends[d + 1]
-            mine = np.flatnonzero(code[a:b])
-            seen = []
-            if len(mine):
-                words, doc = self.texts[d].split(), self.ids[d]
-                for i in mine.tolist():
-                    first, last = int(r.first[i]), int(r.last[i])
-                    if code[a + i] == MULTI:
-                        spans = [(int(r.anchor[i]), first, last)]
-                    else:
-                        spans = [(int(r.windows[w]), w, w) for w in range(first, last + 1)]
-                    for key, s, e in spans:
-                        text = b" ".join(words[s:e + self.window])
-                        k = index.setdefault((key, text), len(keys))
-                        if k == len(keys):
-                            keys.append(key), texts.append(text), width.append(e - s + 1), low.append(doc)
-                        elif doc < low[k]:
-                            low[k] = doc
-                        seen.append((s, e - s + 1, k))
-            where.append(seen)
-        return keys, texts, width, low, where
+        some = np.flatnonzero(code == MULTI)
+        keys, firsts, lasts = self.anchors[self.place[some]], self.first[some], self.last[some]
+        long = np.flatnonzero(code == LONG)
+        if len(long):  # each window by its own words
+            width = self.last[long] - self.first[long] + 1
+            single = np.repeat(self.first[long], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            keys, firsts, lasts = (np.concatenate(x) for x in ((keys, self.windows[single]), (firsts, single), (lasts, single)))
+        words, reach, index = self.words, self.window, {}
+        which = np.empty(len(keys), np.int64)
+        texts, head = [], []
+        for i, (key, s, e) in enumerate(zip(keys.tolist(), firsts.tolist(), lasts.tolist())):
+            text = b" ".join(words[s:e + reach])
+            k = index.setdefault((key, text), len(texts))
+            if k == len(texts):
+                texts.append(text), head.append(i)
+            which[i] = k
+        low = np.full(len(texts), NO_ID)
+        np.minimum.at(low, which, self.ids[self.doc[firsts]])
+        width = lasts - firsts + 1
+        return keys[head], texts, width[head], low, (firsts, width, which)
 
 
 def bounds(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -222,9 +218,8 @@ def _chosen(docs: pa.Table, answers: pa.Table, window: int, gram: int, buckets:
     return chunk, chunk.chosen(codes)
 
 
-def _by_bucket(keys: list[int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the records by key, and the bounds of the buckets in it."""
-    keys = np.array(keys, np.uint64)
     order = np.argsort(keys, kind="stable")
     return order, bounds(keys[order], buckets)
 
@@ -239,7 +234,7 @@ def _send(window: int, gram: int, buckets: int):
         if docs.num_rows and answers.num_rows:
             _, (keys, texts, width, low, _) = _chosen(docs, answers, window, gram, buckets)
             order, bound = _by_bucket(keys, buckets)
-            keys, width, low = np.array(keys, np.uint64), np.array(width, np.uint8), np.array(low, np.int64)
+            width = width.astype(np.uint8)
             no = docs.column("chunk")[0].as_py()
             for b in range(buckets):
                 some = order[bound[b]:bound[b + 1]]
@@ -255,9 +250,14 @@ def _send(window: int, gram: int, buckets: int):
 def _rank(names: np.ndarray, step: int) -> np.ndarray:
     """Names of twice the depth: pairs of the name here and the name ``step`` words on."""
     top = int(names.max(initial=0)) + 2
-    after = np.full(len(names), -1, np.int64)
-    after[:-step] = names[step:]
-    return np.unique(names * top + after + 1, return_inverse=True)[1].astype(np.int64)
+    pairs = names * top
+    pairs[:-step] += names[step:] + 1
+    order = np.argsort(pairs)
+    pairs = pairs[order]
+    pairs[1:] = np.cumsum(pairs[1:] != pairs[:-1])
+    pairs[0] = 0
+    names[order] = pairs
+    return names
 
 
 def node_minima(words: np.ndarray, starts: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:
@@ -308,30 +308,31 @@ def _mark(window: int, gram: int, buckets: int, schema: pa.Schema):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        chunk, (keys, _, width, _, where) = _chosen(docs, answers, window, gram, buckets)
-        order, bound = _by_bucket(keys, buckets)
-        width = np.array(width, np.int64)
-        sent = np.concatenate([[0], np.cumsum(width[order])]) if len(order) else np.zeros(1, np.int64)
+        chunk, (keys, _, width, _, (first, count, which)) = _chosen(docs, answers, window, gram, buckets)
+        order, _ = _by_bucket(keys, buckets)
         begin = np.zeros(len(order), np.int64)
-        begin[order] = sent[:-1]
+        begin[order] = np.cumsum(width[order]) - width[order]
         got = _codes(answers, 1)
         least = np.frombuffer(b"".join(got[b] for b in sorted(got)), np.int64)
+        # every window that was sent, and the smallest id that has it
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(first, count) + inner
+        hit = at[least[np.repeat(begin[which], count) + inner] < chunk.ids[chunk.doc[at]]]
+        gone = np.zeros(len(chunk.words) + window + 1, np.int32)
+        gone[hit] += 1  # a window is in one record, so no place comes twice
+        gone[hit + window] -= 1
+        cover = np.cumsum(gone)[:len(chunk.words)] > 0
+        total = np.concatenate([[0], np.cumsum(cover)])
         texts, n_words, n_removed, spans = [], [], [], []
-        for d, seen in enumerate(where):
-            words = chunk.texts[d].split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            for first, count, k in seen:
-                hit = np.flatnonzero(least[begin[k]:begin[k] + count] < chunk.ids[d]) + first
-                if len(hit):
-                    np.add.at(gone, hit, 1)
-                    np.add.at(gone, hit + window, -1)
-            cover = np.cumsum(gone)[:-1] > 0
-            removed = int(cover.sum())
-            n_words.append(len(words)), n_removed.append(removed)
+        for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist()):
+            removed = int(total[b] - total[a])
+            words = chunk.words[a:b]
+            n_words.append(b - a), n_removed.append(removed)
             if removed:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(np.int8), [0]])))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-                words = [words[i] for i in np.flatnonzero(~cover).tolist()]
+                mine = cover[a:b]
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]]))).tolist()
+                spans.append([{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2])])
+                words = list(compress(words, (~mine).tolist()))
             else:
                 spans.append([])
             texts.append(b" ".join(words))
@@ -360,12 +361,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chun
     dealt = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"),
         data.alias("text"), F.struct(*others).alias("row")).repartition(chunks, "chunk")
-    slim = dealt.select("chunk", "doc_id", "text")
-    sent = slim.groupBy("chunk").applyInArrow(
+    # All three passes read the same columns, so the text is shuffled once and its files read again.
+    sent = dealt.groupBy("chunk").applyInArrow(
         _scan(window, gram, chunks), "bucket int, chunk int, anchors binary, shared binary, records binary")
     answer = "chunk int, bucket int, kind int, data binary"
     codes = sent.groupBy("bucket").applyInArrow(_decide(group_records), answer)
-    records = slim.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(
+    records = dealt.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(
         _send(window, gram, chunks), "bucket int, chunk int, keys binary, texts binary, width binary, low binary")
     minima = records.groupBy("bucket").applyInArrow(_trees(window), answer)
     answers = codes.unionByName(minima)

@@ -14,7 +14,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
-MEMO = 800_000
+MEMO = 250_000
 # Letters and signs that Unicode normalisation leaves as they are.
 PLAIN = regex.compile("[\\x21-\\x7e¡-ſ]+")
 
