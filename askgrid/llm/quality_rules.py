@@ -29,11 +29,9 @@ ROOM_WORDS = 20
 MIN_GROUP = 200
 
 
-def _windows(words: Column) -> Column:
-    """Hash of every window of five words."""
-    return F.transform(
-        F.sequence(F.lit(0), F.size(words) - 5),
-        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2), F.get(words, i + 3), F.get(words, i + 4)))
+def _windows(hashes: Column) -> Column:
+    """Hash of every window of five words, from the hashes of its words."""
+    return F.transform(F.sequence(F.lit(0), F.size(hashes) - 5), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(5)]))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -41,26 +39,28 @@ def measured(docs: DataFrame) -> DataFrame:
 
     Columns: row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long). A null text
     has no words. A text of any length is one row. Only where two windows of a text have equal
-    hashes are its windows sorted by their words, and those found twice there count.
+    hashes are these windows sorted by their words, and those found twice there count.
 
     Each step is a column of its own: a lambda that held the expression of an array would make
     that array again for every element.
     """
     blank = "[" + BLANKS + "]+"
     lines = F.filter(F.split(F.col("t"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words, windows, ordered, starts = F.col("words"), F.col("windows"), F.col("ordered"), F.col("starts")
-    texts = F.transform(windows, lambda h, i: F.struct(F.array_join(F.slice(words, i + 1, 5), " ").alias("t"), i.alias("i")))
-    last = F.size(ordered) - 1
-    twice = F.filter(ordered, lambda x, i: (
-        ((i > 0) & (F.get(ordered, i - 1)["t"] == x["t"])) | ((i < last) & (F.get(ordered, i + 1)["t"] == x["t"]))))
+    words, windows, ordered, near, starts = F.col("words"), F.col("windows"), F.col("ordered"), F.col("near"), F.col("starts")
+    twin = lambda a, key: F.filter(a, lambda x, i: (
+        ((i > 0) & (F.get(a, i - 1)[key] == x[key])) | ((i < F.size(a) - 1) & (F.get(a, i + 1)[key] == x[key]))))
+    texts = F.transform(twin(ordered, "h"), lambda x: F.struct(F.array_join(F.slice(words, x["i"] + 1, 5), " ").alias("t"), x["i"].alias("i")))
     gaps = F.transform(starts, lambda s, i: F.when(i < F.size(starts) - 1, F.least(F.lit(5), F.get(starts, i + 1) - s)).otherwise(F.lit(5)))
     return (
         docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         .withColumn("t", F.coalesce(F.col("row.text"), F.lit("")))
         .withColumn("words", F.array_remove(F.split(F.col("t"), blank, -1), ""))
-        .withColumn("windows", F.when(F.size("words") >= 6, _windows(words)))
-        .withColumn("ordered", F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(texts)))
-        .withColumn("starts", F.sort_array(F.transform(twice, lambda x: x["i"])))
+        .withColumn("hashes", F.transform(words, lambda w: F.xxhash64(w)))
+        .withColumn("windows", F.when(F.size("hashes") >= 6, _windows(F.col("hashes"))))
+        .withColumn("ordered", F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(
+            F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+        .withColumn("near", F.sort_array(texts))
+        .withColumn("starts", F.sort_array(F.transform(twin(near, "t"), lambda x: x["i"])))
         .withColumn("lines", F.when(F.col("t").contains("\n"), lines))
         .select(
             "row",
