@@ -181,10 +181,11 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     Null text counts as empty. An empty table gives no rows.
     """
     ids = written(text_identities(docs, block_bytes), "identities")
-    groups = ids.groupBy("blocks", "name").agg(
+    # a written table on this side lets the join split the rows of a hot group
+    groups = written(ids.groupBy("blocks", "name").agg(
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"),
         # structs order null first, so a group of null ids also has one row that stays
-        F.max(F.struct("doc_id", "row_id")).alias("stays"))
+        F.max(F.struct("doc_id", "row_id")).alias("stays")), "groups")
     return ids.join(groups, ["blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("stays.row_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))

@@ -23,7 +23,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-MEMO = 800_000
+MEMO = 500_000
 BLANK = "▁"
 NOTHING = -1
 UNKNOWN_PENALTY = 10.0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = 32  # pre-tokens of a leaf of a new tree
-MEMO = 800_000
+MEMO = 500_000
 LOOK = 2  # signs before an edit whose pre-token may change
 TREE = "struct<chars:array<int>,tokens:array<int>>"
 
