@@ -79,7 +79,6 @@ def test_pairs_name_the_first_kept_partner(spark):
 def test_a_third_of_all_rows_are_near_copies(spark, monkeypatch):
     """Hot blocks go through the joins for hot keys and one comparison per row."""
     monkeypatch.setattr(sizing, "HOT_KEY_ROWS", 50)
-    monkeypatch.setattr(sizing, "MAX_HOT_KEYS", 100)
     rows = [("all", i, words(range(200)) + f" copy{i}") for i in range(400)]
     rows += [("all", 400 + i, words(range(1000 * (i + 1), 1000 * (i + 1) + 30))) for i in range(400)]
     rows += [("all", 800 + i, "The same text again " + words(range(30))) for i in range(400)]
