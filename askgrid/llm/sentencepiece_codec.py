@@ -268,7 +268,9 @@ def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = [c.decode(x or ()) for x in batch.column(0).to_pylist()]
+            lists = batch.column(0)
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().tolist()
+            texts = [c.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], batch.column(0), pa.array(texts, pa.string())], [*names, "ids", "text"])
 
     return encoded.select("ids", *names).mapInArrow(run, f"{_schema(encoded, names)}, ids array<int>, text string")
