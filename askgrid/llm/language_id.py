@@ -2,11 +2,12 @@
 
 A text becomes a vector of letter n-grams (one to three signs, words padded by a blank), hashed
 into buckets, weighted by (1 + ln count) * idf and scaled to length one. Every language has
-several centroids, found by spherical k-means over a bounded sample of its training texts. The
+several centroids, found by spherical k-means over a bounded sample of its distinct training texts. The
 language of the most similar centroid (cosine) is predicted; a text farther from it than the
 centroid's own texts ever were, by a margin, is marked as rejected.
 
-Document frequencies cover all training texts. Only the k-means sample is bounded.
+Document frequencies cover all training texts. Only the k-means sample is bounded: of each language
+the distinct texts with the smallest hashes, so copies neither fill it nor leave it empty.
 """
 
 from __future__ import annotations
@@ -18,15 +19,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from askgrid.llm.rows import written
+from askgrid.operators.sizing import broadcast_if_small
+
 BUCKETS = 8192
-SAMPLE_PER_LANGUAGE = 512  # training texts k-means sees of one language, at most
+SAMPLE_PER_LANGUAGE = 512  # distinct training texts k-means sees of one language, at most
 MAX_LANGUAGES = 256  # the languages with most training texts are learned
 CENTROIDS = 3
 ROUNDS = 12
 MARGIN = 1.25
 WINDOW = 1 << 20
+HELD_HASHES = 1 << 18  # a task passes on its smallest hashes when it holds that many
 UNKNOWN = "und"
 
 
@@ -77,17 +83,51 @@ def _vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (v / max(np.sqrt(v @ v), 1e-12)).astype(np.float32)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df, rows = np.zeros(BUCKETS, np.int64), 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts = gram_counts(text)
-            if counts is not None:
+def _frequencies(sample: int):
+    """Of a task: how many texts have each bucket (BUCKETS: how many have a letter), and of each
+    language the ``sample`` smallest hashes of texts with a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, rows = np.zeros(BUCKETS, np.int64), 0
+        least: dict[str, set[int]] = {}
+        bound: dict[str, int] = {}
+        size = 0
+
+        def out(buckets, n, langs, hashes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(buckets, pa.int32()), pa.array(n, pa.int64()), pa.array(langs, pa.string()), pa.array(hashes, pa.int64())],
+                ["bucket", "n", "lang", "h"])
+
+        def held() -> pa.RecordBatch:
+            pairs = [(lang, h) for lang, some in least.items() for h in sorted(some)[:sample]]
+            return out([None] * len(pairs), [None] * len(pairs), [p[0] for p in pairs], [p[1] for p in pairs])
+
+        for batch in batches:
+            for text, lang, h in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                counts = gram_counts(text)
+                if counts is None:
+                    continue
                 df += counts > 0
                 rows += 1
-    some = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(some, BUCKETS), pa.int32()), pa.array(np.append(df[some], rows), pa.int64())], ["bucket", "n"])
+                some = least.setdefault(lang, set())
+                if h in some or (lang in bound and h > bound[lang]):
+                    continue
+                some.add(h)
+                size += 1
+                if len(some) >= 2 * sample:
+                    least[lang] = set(sorted(some)[:sample])
+                    bound[lang] = max(least[lang])
+                    size += len(least[lang]) - len(some)
+                if size >= HELD_HASHES:
+                    yield held()
+                    least, size = {}, 0
+        at = np.flatnonzero(df)
+        n = np.append(df[at], rows)
+        yield out(np.append(at, BUCKETS), n, [None] * len(n), [None] * len(n))
+        if least:
+            yield held()
+
+    return run
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +153,9 @@ def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centr
     """Fit on rows (text, lang), nulls left out. Returns idf, and arrays of centroids, their
     languages and radii; their size depends on the parameters, not on the rows."""
     rows = rows.filter("text is not null and lang is not null").select("text", "lang")
-    found = rows.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    hashed = rows.select("text", "lang", F.xxhash64("text").alias("h"))
+    passed = written(hashed.mapInArrow(_frequencies(sample_per_language), "bucket int, n long, lang string, h long"), "frequencies")
+    found = passed.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df, total = np.zeros(BUCKETS + 1), 0
     for b, n in found:
         df[b] = n
@@ -123,17 +165,22 @@ def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centr
     empty = {"idf": idf, "centroids": np.zeros((0, BUCKETS), np.float32), "langs": [], "radius": np.zeros(0)}
     if not langs:
         return empty
-    # About the wanted number by a draw on the text, then at most that number.
-    share = rows.sparkSession.createDataFrame([(r[0], sample_per_language / r[1]) for r in langs], "lang string, share double")
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.join(F.broadcast(share), "lang").filter(draw < F.col("share") * 1.2).select("lang", F.xxhash64("text").alias("h"), "text")
+    # The smallest hashes of each language. Those of copies are equal and count once; at most the
+    # wanted number of each language leaves a partition.
+    learned = rows.sparkSession.createDataFrame([(r[0],) for r in langs], "lang string")
+    distinct = passed.filter("bucket is null").join(F.broadcast(learned), "lang").select("lang", "h").distinct()
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    picked = written(distinct.withColumn("place", place).filter(F.col("place") <= sample_per_language).select("lang", "h"), "picked")
+    drawn = hashed.join(broadcast_if_small(picked), ["lang", "h"]).select("lang", "h", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             out = []
             for lang, h, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                counts = gram_counts(text)
+                counts = gram_counts(text) if (lang, h) not in seen else None
                 if counts is not None:
+                    seen.add((lang, h))
                     some = np.flatnonzero(counts)
                     out.append((lang, h, some.tolist(), counts[some].tolist()))
             if out:
@@ -142,7 +189,7 @@ def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centr
                      pa.array([o[2] for o in out], pa.list_(pa.int32())), pa.array([o[3] for o in out], pa.list_(pa.int64()))],
                     ["lang", "h", "at", "n"])
 
-    sample = drawn.mapInArrow(vectors, "lang string, h long, at array<int>, n array<bigint>")
+    sample = drawn.mapInArrow(vectors, "lang string, h long, at array<int>, n array<bigint>").dropDuplicates(["lang", "h"])
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("h", kind="stable").head(sample_per_language)

@@ -320,3 +320,23 @@ def test_gram_counts_do_not_depend_on_windows(monkeypatch):
     for size in (1, 2, 3, 7, 64):
         monkeypatch.setattr(language_id, "WINDOW", size)
         assert (language_id.gram_counts(text) == whole).all(), size
+
+
+def test_language_of_copies_is_learned(spark):
+    """Few distinct texts in very many rows: each language still gets its centroids, from each text once."""
+    copies = {"aa": ["kalo mitu lomi"], "bb": ["schung eitder dereit", "ungsch derung"], "cc": ["cióque lasño"]}
+    data = [(t, lang) for lang, texts in copies.items() for t in texts for _ in range(4000)] + [("12 34 !", "dd")] * 50
+    data += [("kalo " + "mi" * n, "aa") for n in range(1, 30)]
+    model = language_id.train(spark.createDataFrame(data, "text string, lang string").repartition(5))
+    assert sorted(set(model["langs"])) == sorted(copies) and model["langs"].count("bb") == 2
+    ask = spark.createDataFrame([(i, t) for i, t in enumerate(t for ts in copies.values() for t in ts)], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.predict(ask, model).orderBy("doc_id").collect()] == ["aa", "bb", "bb", "cc"]
+
+
+def test_smallest_hashes_do_not_depend_on_flushes(spark, monkeypatch):
+    data = [(" ".join(["kalo", "mitu"][(n >> b) & 1] for b in range(8)), "aa") for n in range(200)]
+    frame = spark.createDataFrame(data, "text string, lang string").coalesce(2)
+    whole = language_id.train(frame, 20)
+    monkeypatch.setattr(language_id, "HELD_HASHES", 7)
+    parts = language_id.train(frame, 20)
+    assert (whole["centroids"] == parts["centroids"]).all() and (whole["radius"] == parts["radius"]).all()
