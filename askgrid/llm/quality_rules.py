@@ -4,7 +4,8 @@ Counts come from built-in functions only. For each measure and each (language, s
 quantile sketch is kept: a histogram over buckets whose width grows with the value, so any
 quantile is known within 1/16 of its value. Such histograms merge by adding counts: the sketch
 of a language is the sum of its sources, that of the corpus the sum of all. A group's fences
-are its quartiles widened by a multiple of their distance; too small a group takes the fences
+are its quartiles widened by a multiple of their distance, the upper one at least its ninth decile
+widened likewise, which tells usual from odd where both quartiles are 0; too small a group takes the fences
 of its language, then of the corpus. The filter joins documents with the fences of their group.
 """
 
@@ -20,12 +21,15 @@ from askgrid.operators.sizing import broadcast_if_small
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
-# Per mille measures. The distance of the quartiles counts as FLOORS at least. A short text strays
-# farther by chance: it has a further 20 / words of the floor.
+# Per mille measures: of lines for dup_lines, of words for the others. A distance of quartiles
+# counts as the width of a bucket at least, as the sketch tells no less.
 MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
-FLOORS = {"word_length": 1000, "symbols": 100, "dup_lines": 100, "repeats": 100}
 FENCE = 3
-ROOM_WORDS = 20
+UPPER = 90  # percent of a group that is usual in it
+# A text strays by chance, a short one farther: FENCE times one event is allowed to each, a sign, a
+# line or a window of five words found twice; to the mean length of n words FENCE times its error,
+# half a usual length / sqrt(n).
+EVENT = {"symbols": 1, "dup_lines": 1, "repeats": 10}
 MIN_GROUP = 200
 
 
@@ -37,8 +41,8 @@ def _windows(hashes: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` as a struct ``row`` with the counts of its text.
 
-    Columns: row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long). A null text
-    has no words. A text of any length is one row. Only where two windows of a text have equal
+    Columns: row, n_words, word_chars, n_symbols, n_lines (not blank), n_dup_lines, n_repeat_words
+    (long). A null text has no words. A text of any length is one row. Only where two windows of a text have equal
     hashes are these windows sorted by their words, and those found twice there count.
 
     Each step is a column of its own: a lambda that held the expression of an array would make
@@ -67,6 +71,7 @@ def measured(docs: DataFrame) -> DataFrame:
             F.size("words").cast("long").alias("n_words"),
             F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"),
             (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.when(F.col("t").contains("\n"), F.size("lines")).otherwise(F.lit(1)).cast("long").alias("n_lines"),
             F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
             F.coalesce(F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x), F.lit(0)).cast("long").alias("n_repeat_words")))
 
@@ -77,9 +82,9 @@ def base_failed() -> Column:
 
 def with_measures(counts: DataFrame) -> DataFrame:
     """Per mille measures of a text, whole numbers; 0 without words."""
-    rate = lambda c: F.expr(f"{c} * 1000 div greatest(n_words, 1)")
+    rate = lambda c, of="n_words": F.expr(f"{c} * 1000 div greatest({of}, 1)")
     return (counts.withColumn("word_length", rate("word_chars")).withColumn("symbols", rate("n_symbols"))
-            .withColumn("dup_lines", rate("n_dup_lines")).withColumn("repeats", rate("n_repeat_words")))
+            .withColumn("dup_lines", rate("n_dup_lines", "n_lines")).withColumn("repeats", rate("n_repeat_words")))
 
 
 def bucket(value: Column) -> Column:
@@ -88,6 +93,11 @@ def bucket(value: Column) -> Column:
     return F.when(value < 32, value).otherwise(shift * 16 + F.floor(value / F.pow(F.lit(2.0), shift))).cast("long")
 
 
+def bucket_width(b: Column) -> Column:
+    """How many whole values a bucket has."""
+    return F.when(b < 32, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.floor((b - 16) / 16))).cast("long")
+
+
 def bucket_floor(b: Column) -> Column:
     """Smallest value of a bucket."""
     shift = F.floor((b - 16) / 16)
@@ -102,8 +112,8 @@ def sketches(measures: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """Per (lang, source): rows, and low/high of every measure, each from the smallest group of
-    at least MIN_GROUP rows that holds it."""
+    """Per (lang, source): rows, and low/high/usual (third quartile) of every measure, each from the
+    smallest group of at least MIN_GROUP rows that holds it."""
     levels = {"own": ["lang", "source"], "language": ["lang"], "corpus": []}
     groups = sketch.filter(F.col("measure") == MEASURES[0]).groupBy("lang", "source").agg(F.sum("n").alias("rows"))
     out = groups
@@ -113,12 +123,15 @@ def fences(sketch: DataFrame) -> DataFrame:
         run = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
         total = W.partitionBy(*by)
         cum = merged.withColumn("c", F.sum("n").over(run)).withColumn("total", F.sum("n").over(total))
-        at = lambda q: F.min(F.when(F.col("c") * 4 >= F.col("total") * q, bucket_floor(F.col("bucket"))))
-        quarts = cum.groupBy(*by).agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("total"))
-        floor = F.element_at(F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.lit(FLOORS[m]))]), F.col("measure"))
-        spread = F.greatest(F.col("q3") - F.col("q1"), floor)
+        at = lambda percent: F.min(F.when(F.col("c") * 100 >= F.col("total") * percent, F.col("bucket")))
+        quarts = cum.groupBy(*by).agg(at(25).alias("b1"), at(75).alias("b3"), at(UPPER).alias("upper"), F.max("total").alias("total"))
+        q1, q3, step = bucket_floor(F.col("b1")), bucket_floor(F.col("b3")), bucket_width(F.col("b3"))
+        upper, upper_step = bucket_floor(F.col("upper")), bucket_width(F.col("upper"))
+        spread = F.greatest(q3 - q1, step)
         fence = F.when(F.col("total") >= (MIN_GROUP if keys else 0), F.struct(
-            (F.col("q1") - FENCE * spread).cast("long").alias("low"), (F.col("q3") + FENCE * spread).cast("long").alias("high")))
+            (q1 - FENCE * spread).alias("low"),
+            F.greatest(q3 + step - 1 + FENCE * spread, upper + upper_step - 1 + FENCE * F.greatest(upper - q3, upper_step)).alias("high"),
+            (q3 + step - 1).alias("usual")))
         wide = quarts.withColumn("fence", fence).groupBy(*keys).agg(*[
             F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{level}_{m}") for m in MEASURES])
         if keys:
@@ -137,7 +150,8 @@ def _judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
     met = measures.join(right, [measures["lang"].eqNullSafe(right["r_lang"]), measures["source"].eqNullSafe(right["r_source"])], "left")
     inside = F.lit(True)
     for m in MEASURES:
-        room = F.lit(FLOORS[m] * ROOM_WORDS) / F.greatest(F.col("n_words"), F.lit(1))
+        size = F.greatest(F.col("n_lines" if m == "dup_lines" else "n_words"), F.lit(1))
+        room = F.lit(1000 * FENCE * EVENT[m]) / size if m in EVENT else FENCE * F.col(f"fence_{m}.usual") / 2 / F.sqrt(size)
         inside = inside & (F.col(m) <= F.col(f"fence_{m}.high") + room)
         if m == "word_length":
             inside = inside & (F.col(m) >= F.col(f"fence_{m}.low") - room)
@@ -164,7 +178,7 @@ def quality_counts(docs: DataFrame) -> DataFrame:
     """As quality_rules with doc_id in place of the whole row; the counts are made once."""
     keyed = with_measures(measured(docs.select("doc_id", "text", "lang", "source"))).select(
         F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), F.col("row.source").alias("source"),
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *MEASURES)
+        "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *MEASURES)
     keyed = written(keyed, "measures")
     limits = written(fences(sketches(keyed.filter(~base_failed()))), "fences")
     return _judged(keyed, limits).select(

@@ -99,6 +99,26 @@ def test_quality_fences_follow_the_source(spark):
     assert not kept[2000] and kept[2001] and all(kept[i] for i in (*range(300), *range(1000, 1300)))
 
 
+def test_repeated_lines_and_windows_are_judged_beyond_the_base_rule(spark):
+    """Half the lines repeated, or a tenth of the words in repeated windows: odd in one source, lines usual in another."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = ["".join(rng.choice(letters, int(rng.integers(2, 9)))) for _ in range(3000)]
+    some = lambda n: rng.choice(words, n).tolist()
+    plain = lambda n: "\n".join(" ".join(some(10)) for _ in range(n))
+    replies = lambda n: "\n".join(" ".join(some(3)) + "\nReply" for _ in range(n))
+    passage = " ".join(some(20))
+    data = [(i, plain(int(rng.integers(3, 60))), "en", "prose") for i in range(300)]
+    data += [(1000 + i, replies(int(rng.integers(20, 60))), "en", "forum") for i in range(250)]
+    data += [(2000, replies(40), "en", "prose"), (2001, f"{plain(18)} {passage} {plain(18)} {passage}", "en", "prose")]
+    data += [(2002, f"{plain(20)}\nNotes\n{plain(20)}\nNotes\n{plain(5)}", "en", "prose")]
+    got = {r.doc_id: r for r in quality_rules.quality_counts(
+        spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not got[2000].kept and not got[2001].kept and got[2002].kept
+    assert all(got[i].kept for i in (*range(300), *range(1000, 1250)))
+
+
 def test_sketch_buckets_keep_order(spark):
     values = [0, 1, 31, 32, 33, 63, 64, 65, 1000, 1023, 1024, 10**6, 10**12]
     out = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bucket(F.col("v")).alias("b"))
