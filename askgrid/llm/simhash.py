@@ -213,7 +213,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, sha (of the text), fp, component_id for every row of ``docs`` (doc_id, text; more columns are ignored).
+    """doc_id, sha (of the text), fp, component_id, root (a fingerprint that names the component) for
+    every row of ``docs`` (doc_id, text; more columns are ignored).
 
     component_id: the smallest doc_id reachable by links of at most ``max_bits`` differing bits,
     equal fingerprints included. Null and empty texts have fingerprint 0 and are linked like any
@@ -225,8 +226,8 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     roots = components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
     rooted = written(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    labelled = rooted.join(lows, "root").select("fp", "component_id")
-    return marked.join(labelled, "fp").select("doc_id", "sha", "fp", "component_id")
+    labelled = rooted.join(lows, "root").select("fp", "component_id", "root")
+    return marked.join(labelled, "fp").select("doc_id", "sha", "fp", "component_id", "root")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -236,9 +237,11 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
 
 
 def keep_representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """Rows of ``docs`` with one document of each component left: the one whose id names it.
-    Of rows that share that id, the first by text hash stays. Columns stay as they were."""
+    """Rows of ``docs`` with one document of each component left: the one with the smallest id, a null
+    id only if there is no other. Of rows of the component that share that id, the first by text
+    hash stays. Components are told apart by their root, as several may have the same smallest id
+    or none. Columns stay as they were."""
     marked = written(near_components(docs, shingle, max_bits), "near")
-    own = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = own.groupBy("doc_id", "component_id").agg(F.min("sha").alias("sha"), F.count("*").alias("rows"))
-    return keep_rows(docs, kept.select("doc_id", "sha", "rows"))
+    texts = marked.groupBy("root", "doc_id", "sha").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha", "rows"))
+    return keep_rows(docs, texts.groupBy("root").agg(first.alias("f")).select("f.doc_id", "f.sha", "f.rows"))

@@ -155,6 +155,17 @@ def test_simhash(docs, none):
     assert simhash.near_dedup(none).count() == 0
 
 
+def test_each_component_keeps_a_document_whatever_its_ids(spark):
+    """Components of null ids alone, and one id that names two components."""
+    texts = ["one red fox ran home over hills", "blue ships sail far north at dawn", "green tea is served in small cups",
+             "old clocks tick loudly in the hall", "snow fell on quiet roofs all night"]
+    ids = [None, None, 7, 7, 8]
+    data = list(zip(ids, texts)) + [(None, texts[0]), (9, texts[2]), (None, texts[4])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    stay = [(r.doc_id, r.text) for r in simhash.keep_representatives(docs).collect()]
+    assert sorted(stay, key=str) == sorted(zip(ids, texts), key=str)
+
+
 def test_all_links_within_three_bits_are_found(spark):
     """Chains and dense balls of fingerprints, with anchors crowded beyond a slice."""
     rng = np.random.default_rng(3)
