@@ -158,21 +158,26 @@ def _search_slice(vectors: DataFrame, queries: pa.Table, k: int, cosine: bool,
 
 def _search(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool, threshold: float | None,
             value: str, carry: Sequence[str]) -> DataFrame:
-    """Every task keeps its k best rows per query; only those are shuffled and ranked."""
+    """Every task keeps its k best rows per query; only those are shuffled and ranked. Queries of
+    each length are searched apart, among vectors of that length."""
     queries = queries.select("query_id", "vector").filter("vector is not null")
     queries = cut_lineage(queries)
     length = vector_length(F.col("vector"), is_sparse(queries))
-    dim = queries.agg(F.max(length)).first()[0]
-    if dim is not None:
-        queries = searchable(queries, dim)
-    n = queries.count()
-    passes = max(1, -(-n * (dim or 1) * 8 // MAX_QUERY_BYTES))
+    whole = ~F.exists(F.col("vector")["x"] if is_sparse(queries) else F.col("vector"), F.isnull)
+    lengths = queries.filter(whole & (length > 0)).groupBy(length.alias("dim")).agg(F.count("*").alias("n")).collect()
+    if len(lengths) > 1:  # only those some stored vector has are worth a search
+        stored = vector_length(F.col("vector"), is_sparse(vectors))
+        found = vectors.filter(stored.isin([r.dim for r in lengths])).select(stored.alias("dim")).distinct().collect()
+        lengths = [r for r in lengths if r.dim in {f.dim for f in found}]
     parts = []
-    for i in range(passes):
-        part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        table = part.toArrow()
-        if table.num_rows:
-            parts.append(_search_slice(vectors, table, k, cosine, threshold, value, carry))
+    for dim, n in sorted(lengths):
+        alike = searchable(queries, dim)
+        passes = max(1, -(-n * dim * 8 // MAX_QUERY_BYTES))
+        for i in range(passes):
+            part = alike if passes == 1 else alike.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+            table = part.toArrow()
+            if table.num_rows:
+                parts.append(_search_slice(vectors, table, k, cosine, threshold, value, carry))
     if not parts:
         return queries.select(
             "query_id", F.lit(None).cast(vectors.schema["node_id"].dataType).alias("node_id"),
@@ -189,9 +194,10 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool, thresh
 
 def knn_l2(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, carry: Sequence[str] = ()) -> DataFrame:
     """Exact k nearest vectors of each query by squared Euclidean distance, rounded to
-    6 digits, ties by node id: (query_id, node_id, dist, carried columns, rank). Vectors that are
-    null, hold nulls or are not as long as the longest query are no neighbours of any query
-    (``rejected_vectors`` names them); such queries have no result."""
+    6 digits, ties by node id: (query_id, node_id, dist, carried columns, rank). A query meets
+    the vectors of its own length (``rejected_vectors`` names the others). Vectors that are null,
+    empty or hold nulls are no neighbours of any query, and such queries have no result; other
+    queries are not touched by them."""
     return _search(vectors, queries, k, False, None, "dist", carry)
 
 

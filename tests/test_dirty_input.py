@@ -66,3 +66,13 @@ def test_numbers_over_many_ranges_and_groups(spark):
         assert [n for _, n in mine] == list(range(1, len(mine) + 1))
     assert sorted(r.n for r in sizing.number_rows(df, "k", "n", part_rows=300).collect()) == list(range(5000))
     assert sizing.number_rows(df.limit(0), "k", "n").count() == 0
+
+
+def test_odd_queries_lose_only_their_own_result(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0, 0.0]), (4, [])], "node_id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, None, 0.0, 0.0]), (5, [1.0] * 5), (6, [])],
+                                    "query_id long, vector array<double>")
+    near = {(r.query_id, r.node_id) for r in dense.knn_l2(vectors, queries, 1).collect()}
+    assert near == {(1, 1), (2, 2), (3, 3)}
+    alike = {(r.query_id, r.node_id) for r in dense.similarity_topk(vectors, queries).collect()}
+    assert alike == {(1, 1), (2, 2), (3, 3)}
