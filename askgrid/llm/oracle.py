@@ -109,10 +109,40 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT
 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+FILTER_AUDIT = f"""
+WITH base AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS words FROM documents),
+failed AS (SELECT part, doc_id,
+             CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM base),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+            count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM failed GROUP BY part, mask),
+letters(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+           FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, i::INT AS step, bits[i] AS own, coalesce(list_sum(bits[:i - 1]), 0)::BIGINT AS before
+          FROM orders, range(1, 6) AS r(i)),
+audit AS (SELECT part, filter_order, step, own,
+            coalesce(sum(n) FILTER (mask & (before | own) = 0), 0)::BIGINT AS kept,
+            coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0)::BIGINT AS redundant,
+            coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+            coalesce(sum(good) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS good_lost,
+            coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS toxic_lost
+          FROM cells, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM audit
+"""
+
 ORACLE = {
     "op5_exact_dedup": EXACT_DEDUP,
     "op6_quality_rules": QUALITY_RULES,
     "op7_chat_format": CHAT_FORMAT,
     "op9_sharding": SHARDING,
     "op10_substring_dedup": SUBSTRING_DEDUP,
+    "op11_filter_audit": FILTER_AUDIT,
 }

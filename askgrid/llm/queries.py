@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm import (chat_format, exact_dedup, language_id, packing, quality_rules, sentencepiece_codec, sharding, simhash,
+from askgrid.llm import (chat_format, exact_dedup, filter_audit, language_id, packing, quality_rules, sentencepiece_codec, sharding, simhash,
                          substring_dedup, token_counts)
 from askgrid.llm.rows import table
 
@@ -92,6 +92,10 @@ def repeats(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeat_counts(table(spark, folder, "documents"))
 
 
+def audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,5 +113,6 @@ QUERIES = {
     "op8_simhash": near,
     "op9_sharding": shards,
     "op10_substring_dedup": repeats,
+    "op11_filter_audit": audit,
     "pipeline": pipeline,
 }
