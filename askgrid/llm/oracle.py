@@ -84,9 +84,12 @@ def _score(shard: int) -> str:
     return f"struct_pack(s := 1.0 / -ln((('0x' || substr({digest}, 1, 13))::BIGINT + 0.5) / 4503599627370496.0), i := {shard})"
 
 
+CRC_TABLE = """
+tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
+               CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),"""
+
 SHARDING = f"""
-WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
-               CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+WITH {CRC_TABLE}
 base AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 sums AS (SELECT doc_id, length(h) // 2 + 1 AS size,
            xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
@@ -138,6 +141,30 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM audit
 """
 
+_TURN = "struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))"
+_TURN_DIGEST = "sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))"
+
+CONVERSATION_TRIE = f"""
+WITH {CRC_TABLE}
+own AS (SELECT conv_id AS c, list({_TURN} ORDER BY turn NULLS FIRST, {_TURN_DIGEST}) AS l
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, l, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(c::VARCHAR)), lambda i: ascii((c::VARCHAR)[i + 1])::BIGINT)),
+               lambda v, b: xor(t[(xor(v, b) & 255) + 1], v >> 8)), 4294967295) % 4 AS h FROM own, tab),
+whole AS (SELECT h.c, list_concat(coalesce(b.l, [])[:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20),
+walk AS (SELECT c, d, l[:d] AS key, l[d].t AS last, d = len(l) AS ends FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM whole)),
+paths AS (SELECT c, d, last, ends, min(c) OVER same AS o, count(*) OVER same AS n FROM walk WINDOW same AS (PARTITION BY d, key)),
+nodes AS (SELECT p.c, p.d, q.o AS parent, p.n, (p.n - 1) * len(regexp_extract_all(coalesce(p.last, ''), '[^\\x20\\x09-\\x0D]+')) AS saved
+          FROM paths p LEFT JOIN paths q ON q.c = p.c AND q.d = p.d - 1 WHERE p.o = p.c),
+kids AS (SELECT parent AS c, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+sums AS (SELECT p.o AS c, p.d, count(*) FILTER (kids.n IS NULL) AS leaves, sum(x.saved) AS saved
+         FROM nodes x JOIN paths p ON p.c = x.c AND p.d <= x.d LEFT JOIN kids ON kids.c = x.c AND kids.d = x.d GROUP BY p.o, p.d),
+ended AS (SELECT o AS c, d, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM paths WHERE ends GROUP BY o, d)
+SELECT x.c AS conv_id, x.d AS depth, parent AS parent_conv_id, x.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves,
+       sums.saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes x JOIN sums ON sums.c = x.c AND sums.d = x.d LEFT JOIN kids ON kids.c = x.c AND kids.d = x.d
+LEFT JOIN ended ON ended.c = x.c AND ended.d = x.d
+"""
+
 ORACLE = {
     "op5_exact_dedup": EXACT_DEDUP,
     "op6_quality_rules": QUALITY_RULES,
@@ -145,4 +172,5 @@ ORACLE = {
     "op9_sharding": SHARDING,
     "op10_substring_dedup": SUBSTRING_DEDUP,
     "op11_filter_audit": FILTER_AUDIT,
+    "op13_conversation_trie": CONVERSATION_TRIE,
 }

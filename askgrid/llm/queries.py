@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm import (chat_format, exact_dedup, filter_audit, language_id, packing, quality_rules, sentencepiece_codec, sharding, simhash,
+from askgrid.llm import (chat_format, conversation_trie, exact_dedup, filter_audit, language_id, packing, quality_rules, sentencepiece_codec, sharding, simhash,
                          substring_dedup, token_counts)
 from askgrid.llm.rows import table
 
@@ -96,6 +96,10 @@ def audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,5 +118,6 @@ QUERIES = {
     "op9_sharding": shards,
     "op10_substring_dedup": repeats,
     "op11_filter_audit": audit,
+    "op13_conversation_trie": trie,
     "pipeline": pipeline,
 }
