@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm import (chat_format, conversation_trie, exact_dedup, filter_audit, language_id, packing, quality_rules, sentencepiece_codec, sharding, simhash,
-                         substring_dedup, token_counts)
+from askgrid.llm import (best_fit, chat_format, conversation_trie, exact_dedup, filter_audit, language_id, packing, quality_rules,
+                         sentencepiece_codec, sharding, simhash, substring_dedup, token_counts)
 from askgrid.llm.rows import table
 
 END_ID = 1
@@ -96,6 +96,10 @@ def audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit.pack(table(spark, folder, "documents"), WordIds(public_tokenizers.path("word_bpe_49k.json")), 0)
+
+
 def trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
 
@@ -118,6 +122,7 @@ QUERIES = {
     "op9_sharding": shards,
     "op10_substring_dedup": repeats,
     "op11_filter_audit": audit,
+    "op12_best_fit_packing": vectors,
     "op13_conversation_trie": trie,
     "pipeline": pipeline,
 }

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askgrid.session import scratch_path
 
@@ -30,6 +31,13 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def whole_ids(docs: DataFrame) -> DataFrame:
+    """doc_id (as long) and text; ids of another kind are refused, as a cast would make them null."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id has to be a whole number")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def rows_as_struct(df: DataFrame, out: str = "row") -> DataFrame:
     """The whole row as one column, so no name of the input can clash with a working column."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(out))
