@@ -12,27 +12,29 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+# Each measure in per mille with what a text may stray by chance; a bucket has 16 to a power of two.
 _MEASURES = """
-each AS (SELECT doc_id, lang, source, n_words, base_failed, unnest([
-           struct_pack(m := 'word_length', v := word_chars * 1000 // greatest(n_words, 1)),
-           struct_pack(m := 'symbols', v := n_symbols * 1000 // greatest(n_words, 1)),
-           struct_pack(m := 'dup_lines', v := n_dup_lines * 1000 // greatest(n_words, 1)),
-           struct_pack(m := 'repeats', v := n_repeat_words * 1000 // greatest(n_words, 1))]) AS e FROM counts),
-values AS (SELECT * EXCLUDE (e), e.m AS m, e.v AS v,
-             CASE WHEN e.v < 32 THEN e.v ELSE (length(bin(e.v)) - 5) * 16 + (e.v >> (length(bin(e.v)) - 5)) END AS b FROM each),
-passed AS (SELECT *, CASE WHEN b < 32 THEN b ELSE (b - (b // 16 - 1) * 16) << (b // 16 - 1) END AS low FROM values WHERE NOT base_failed),
-floors(m, f) AS (VALUES ('word_length', 1000), ('symbols', 100), ('dup_lines', 100), ('repeats', 100)),
+each AS (SELECT doc_id, lang, source, base_failed, unnest([
+           struct_pack(m := 'word_length', v := word_chars * 1000 // greatest(n_words, 1), size := greatest(n_words, 1), event := NULL),
+           struct_pack(m := 'symbols', v := n_symbols * 1000 // greatest(n_words, 1), size := greatest(n_words, 1), event := 1),
+           struct_pack(m := 'dup_lines', v := n_dup_lines * 1000 // greatest(n_lines, 1), size := greatest(n_lines, 1), event := 1),
+           struct_pack(m := 'repeats', v := n_repeat_words * 1000 // greatest(n_words, 1), size := greatest(n_words, 1), event := 10)]) AS e FROM counts),
+values AS (SELECT * EXCLUDE (e), e.m AS m, e.v AS v, e.size AS size, e.event AS event, greatest(length(bin(e.v)) - 5, 0) AS shift FROM each),
+passed AS (SELECT *, (v >> shift) << shift AS low, 1 << shift AS width FROM values WHERE NOT base_failed),
 """
 
 
 def _level(name: str, keys: str) -> str:
     by = f"{keys}m"
     return f"""
-{name}_run AS (SELECT {by}, low, sum(count(*)) OVER (PARTITION BY {by} ORDER BY low) AS c,
-                 sum(count(*)) OVER (PARTITION BY {by}) AS total FROM passed GROUP BY {by}, low),
-{name} AS (SELECT {by}, q1 - 3 * greatest(q3 - q1, f) AS lo, q3 + 3 * greatest(q3 - q1, f) AS hi, total
-           FROM (SELECT {by}, min(low) FILTER (c * 4 >= total) AS q1, min(low) FILTER (c * 4 >= total * 3) AS q3,
-                   max(total) AS total FROM {name}_run GROUP BY {by}) JOIN floors USING (m)),"""
+{name}_run AS (SELECT {by}, low, width, sum(count(*)) OVER (PARTITION BY {by} ORDER BY low) AS c,
+                 sum(count(*)) OVER (PARTITION BY {by}) AS total FROM passed GROUP BY {by}, low, width),
+{name}_at AS (SELECT {by}, max(total) AS total, min(low) FILTER (c * 100 >= total * 25) AS q1,
+                min(struct_pack(low, width)) FILTER (c * 100 >= total * 75) AS q3,
+                min(struct_pack(low, width)) FILTER (c * 100 >= total * 90) AS d9 FROM {name}_run GROUP BY {by}),
+{name} AS (SELECT {by}, total, q1 - 3 * greatest(q3.low - q1, q3.width) AS lo, q3.low + q3.width - 1 AS usual,
+             greatest(q3.low + q3.width - 1 + 3 * greatest(q3.low - q1, q3.width),
+                      d9.low + d9.width - 1 + 3 * greatest(d9.low - q3.low, d9.width)) AS hi FROM {name}_at),"""
 
 
 QUALITY_RULES = f"""
@@ -40,21 +42,24 @@ WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS word
 grams AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(words) - 3)) AS r(i)),
 twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id),
-lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM
+lines AS (SELECT doc_id, count(*) AS total, count(*) - count(DISTINCT l) AS n FROM
             (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
 counts AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
-             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.total, 0) AS n_lines, coalesce(lines.n, 0) AS n_dup_lines,
              coalesce(covered.n, 0) AS n_repeat_words,
              len(words) < 10 OR 100 * coalesce(covered.n, 0) > 20 * len(words) AS base_failed
            FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
 {_MEASURES}{_level('own', 'lang, source, ')}{_level('tongue', 'lang, ')}{_level('corpus', '')}
-judged AS (SELECT v.doc_id, bool_and(coalesce(
-             v <= coalesce(own.hi, tongue.hi, corpus.hi) + f * 20 / greatest(n_words, 1)
-             AND (v.m <> 'word_length' OR v >= coalesce(own.lo, tongue.lo, corpus.lo) - f * 20 / greatest(n_words, 1)), true)) AS inside
-           FROM values v JOIN floors USING (m)
-           LEFT JOIN own ON own.total >= 200 AND own.m = v.m AND own.lang IS NOT DISTINCT FROM v.lang AND own.source IS NOT DISTINCT FROM v.source
-           LEFT JOIN tongue ON tongue.total >= 200 AND tongue.m = v.m AND tongue.lang IS NOT DISTINCT FROM v.lang
-           LEFT JOIN corpus ON corpus.m = v.m GROUP BY v.doc_id)
+fenced AS (SELECT v.*, CASE WHEN own.total >= 200 THEN own.lo WHEN tongue.total >= 200 THEN tongue.lo ELSE corpus.lo END AS lo,
+             CASE WHEN own.total >= 200 THEN own.hi WHEN tongue.total >= 200 THEN tongue.hi ELSE corpus.hi END AS hi,
+             CASE WHEN own.total >= 200 THEN own.usual WHEN tongue.total >= 200 THEN tongue.usual ELSE corpus.usual END AS usual
+           FROM values v
+           LEFT JOIN own ON own.m = v.m AND own.lang IS NOT DISTINCT FROM v.lang AND own.source IS NOT DISTINCT FROM v.source
+           LEFT JOIN tongue ON tongue.m = v.m AND tongue.lang IS NOT DISTINCT FROM v.lang
+           LEFT JOIN corpus ON corpus.m = v.m),
+judged AS (SELECT doc_id, bool_and(coalesce(
+             v <= hi + coalesce(3000.0 * event / size, 1.5 * usual / sqrt(size))
+             AND (m <> 'word_length' OR v >= lo - 1.5 * usual / sqrt(size)), true)) AS inside FROM fenced GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept
 FROM counts JOIN judged USING (doc_id)
 """

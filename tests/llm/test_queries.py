@@ -24,6 +24,36 @@ def test_query_equals_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cur.fetchall())
 
 
+def test_quality_sql_at_the_fences(spark, tmp_path):
+    """Texts that stray by a little more each: half their lines repeated, more signs, longer words, in large and small groups."""
+    import numpy as np
+
+    rng, rows = np.random.default_rng(11), []
+    for i in range(900):
+        n = int(rng.integers(12, 120))
+        words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 8)))) + str(rng.integers(0, 10_000)) for _ in range(n)]
+        if i % 9 == 0:  # signs
+            words = [w + "#" * (k < i / 40) for k, w in enumerate(words)]
+        if i % 9 == 1:  # longer words
+            words = [w * (1 + (k < i / 30)) for k, w in enumerate(words)]
+        text = " ".join(words)
+        if i % 9 == 2:  # repeated lines
+            text = "\n".join(" ".join(words[k:k + 3]) + ("\nReply" if k < i / 15 else "") for k in range(0, n, 3))
+        if i % 9 == 3:  # repeated windows
+            text += " " + " ".join(words[:5 + i // 200])
+        rows.append((i, text, ["en", "de", None][i % 3 if i % 50 else 2], f"s{i % 2}" if i % 7 else f"small{i % 5}"))
+    rows += [(1000, None, "en", "s0"), (1001, "", None, None), (1002, "\n\n", "xx", "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES["op6_quality_rules"](spark, str(tmp_path))
+    cur = con.execute(ORACLE["op6_quality_rules"])
+    got, want = rows_of(df.columns, df.collect()), rows_of([d[0] for d in cur.description], cur.fetchall())
+    assert got == want
+    lost = df.filter("not kept and not base_failed").count()
+    assert 20 < lost < 400
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, sizes = docs.columns, [docs.count()]
