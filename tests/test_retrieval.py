@@ -203,22 +203,23 @@ def test_model_slots_run_in_batches(spark):
 
 def test_row_numbers_over_buckets(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), (F.col("id") % 3).alias("g"))
-    got = sizing.number_rows(df, "k", "n", 5, bucket_rows=50).collect()
+    got = sizing.number_rows(df, "k", "n", 5, part_rows=50).collect()
     assert all(r.n == r.k + 5 for r in got) and len(got) == 1000
-    by_group = sizing.number_rows(df, "k", "n", 0, ["g"], bucket_rows=90).orderBy("g", "k").collect()
+    by_group = sizing.number_rows(df, "k", "n", 0, ["g"], part_rows=90).orderBy("g", "k").collect()
     for g in range(3):
         assert [r.n for r in by_group if r.g == g] == list(range(sum(r.g == g for r in by_group)))
 
 
 @pytest.mark.parametrize("fits", [True, False])
 def test_join_hot_apart(spark, monkeypatch, fits):
-    monkeypatch.setattr(sizing, "fits_broadcast", lambda df: fits)
+    monkeypatch.setattr(sizing, "fits_broadcast", lambda df, *limits: fits)
     monkeypatch.setattr(sizing, "HOT_KEY_ROWS", 10)
-    monkeypatch.setattr(sizing, "MAX_HOT_KEYS", 5)
     big = spark.range(100).select(F.when(F.col("id") < 60, 0).otherwise(F.col("id")).alias("k"), "id")
     unique = big.groupBy("k").agg(F.count("*").alias("rows"))
     got = sizing.join_hot_apart(big, unique, ["k"], "rows", 100)
     assert sorted((r.id, r.rows) for r in got.collect()) == [(i, 60 if i < 60 else 1) for i in range(100)]
+    plan = got._jdf.queryExecution().toString()
+    assert ("_salt" in plan) != fits  # beyond the broadcast the hot keys are salted
 
 
 def test_concat_in_order_over_runs(spark):
