@@ -34,6 +34,19 @@ def test_word_bpe():
         assert np.frombuffer(own.ids(t.encode()), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_bpe_of_latin_texts(docs):
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    own, library = WordBpe(path, memo=500), Tokenizer.from_file(path)
+    rng, signs = random.Random(9), [chr(i) for i in (*range(9, 14), *range(32, 127), *range(0xA1, 0x180))] + ["'s", "'ve", "  ", "ab"]
+    latin = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    latin += [r.text or "" for r in docs.select("text").collect()]
+    assert sum(map(own.is_plain, latin)) > 4000
+    for t in latin:
+        assert np.frombuffer(own.ids(t.encode()), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_sentencepiece_equals_library(spark, docs):
     import sentencepiece
 
