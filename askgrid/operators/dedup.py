@@ -15,9 +15,17 @@ group:
    blocks has no earlier rival left, so it is kept, and the rows of its blocks are compared
    with it alone and dropped if they exceed the threshold. A block of a million copies
    costs a million comparisons, not their square.
-4. Blocks of few rows are compared in full, a fixed multiple of their rows. On the
-   duplicates found, rounds settle the order rule: a row without an earlier undecided
-   duplicate is kept and drops its later ones.
+4. A block that hardly shrinks holds texts that are alike without being duplicates, such as
+   filled-in templates. It is split by the rarest words of its rows: of the d + l rarest words
+   of a set that can miss d, a duplicate has l at least (Wang, Li, Feng, SIGMOD 2012), so
+   blocks of rows that also share one, two, three of them still hold every duplicate pair, and
+   words of the template are never among them.
+5. Blocks of few rows are compared in full, a fixed multiple of their rows. The duplicates found
+   are a graph; the order rule is settled by a walk through each of its components, large
+   ones in rounds: a row without an earlier undecided duplicate is kept and drops its later ones.
+
+Groups of few rows, such as the candidates of a question, need none of this: each is walked
+as one sorted array.
 """
 
 from __future__ import annotations
@@ -26,11 +34,14 @@ import math
 from collections.abc import Sequence
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askgrid.functions.text import exceeds_jaccard, safe_ratio, token_set
+from askgrid.operators.components import components
 from askgrid.operators.sizing import broadcast_if_small, fits_broadcast, join_hot_apart
 from askgrid.session import cut_lineage
 
@@ -38,6 +49,14 @@ from askgrid.session import cut_lineage
 THRESHOLD = 0.95
 # Rows of a block up to which its rows are compared with one another.
 FEW_ROWS = 64
+# Rare words a block may be split by, and the blocks a row may get from one block on the way.
+RARE_WORDS = 3
+SPLIT_BLOCKS = 512
+# A group is walked as one array up to this many rows and bytes of text.
+WALK_ROWS = 256
+WALK_BYTES = 32 << 20
+# Duplicate pairs one task walks through.
+WALK_PAIRS = 100_000
 
 
 def _comparable(n: Column, threshold: float) -> Column:
@@ -125,6 +144,52 @@ def _compare(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+
+def _differences(n: Column, threshold: float) -> Column:
+    """Words of a set of n that one above the threshold may lack."""
+    t = Fraction(str(threshold))
+    return F.floor(n * F.lit(t.denominator - t.numerator) / F.lit(t.denominator)).cast("int")
+
+
+def _any_null(columns: Sequence[str]) -> Column:
+    null = F.lit(False)
+    for c in columns:
+        null = null | F.col(c).isNull()
+    return null
+
+
+def _walk_groups(rows: DataFrame, items: DataFrame, groups: list[str], order: str, threshold: float) -> DataFrame:
+    """The rule as it is told, for groups of few rows: each is one sorted array."""
+    t = Fraction(str(threshold))
+    sets = items.select("item_id", F.coalesce(token_set("text"), F.array().cast("array<string>")).alias("_words"))
+    whole = F.struct(F.col(order).alias("o"), F.struct(*[F.col(f"r.{c}") for c in rows.columns]).alias("row"),
+                     F.col("r.item_id").alias("item"), F.col("_words").alias("words"))
+    listed = (
+        rows.select(F.struct(*rows.columns).alias("r"), *groups, order, "item_id")
+        .join(broadcast_if_small(sets), "item_id", "left")
+        .groupBy(*groups).agg(F.array_sort(F.collect_list(whole), lambda a, b: (
+            F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))).alias("list"))
+    )
+    none = F.array().cast("array<string>")
+
+    def alike(kept: Column, x: Column) -> Column:
+        n, m = F.size(x["words"]), F.size(kept["words"])
+        common = F.size(F.array_intersect(kept["words"], x["words"]))
+        near = F.least(n, m) * F.lit(t.denominator) > F.greatest(n, m) * F.lit(t.numerator)
+        return F.when(kept["item"] == x["item"], True).when(near, exceeds_jaccard(common, n, m, threshold)).otherwise(False)
+
+    def step(kept: Column, x: Column) -> Column:
+        lost = (F.size(x["words"]) > 0) & F.exists(kept, lambda k: (F.size(k["words"]) > 0) & alike(k, x))
+        return F.when(lost, kept).otherwise(F.concat(kept, F.array(x)))
+
+    entry = listed.schema["list"].dataType.simpleString()
+    listed = listed.withColumn("list", F.transform("list", lambda x: x.withField("words", F.coalesce(x["words"], none))))
+    first = F.aggregate("list", F.array().cast(entry), step)
+    marked = listed.select("list", F.transform(first, lambda k: k["o"]).alias("stay"))
+    return marked.select("stay", F.explode("list").alias("x")).select(
+        "x.row.*", F.array_contains("stay", F.col("x.o")).alias("kept"))
+
+
 def greedy_dedup(rows: DataFrame, items: DataFrame, groups: Sequence[str], order: str,
                  threshold: float = THRESHOLD, signed: DataFrame | None = None) -> DataFrame:
     """Add ``kept`` to rows (groups, order, item_id); items hold (item_id, text).
@@ -134,6 +199,30 @@ def greedy_dedup(rows: DataFrame, items: DataFrame, groups: Sequence[str], order
     the signatures of the items, where they exist already.
     """
     groups = list(groups)
+    counts = cut_lineage(rows.groupBy(*groups).agg(F.count("*").alias("_rows")))
+    least, most, unnamed = counts.agg(F.min("_rows"), F.max("_rows"), F.max(_any_null(groups))).first()
+    if unnamed:  # a struct holds null like any other value
+        return greedy_dedup(rows.withColumn("_group", F.struct(*groups)), items, ["_group"], order, threshold, signed).drop("_group")
+    if most is None or least > WALK_ROWS:
+        return _dedup_large(rows, items, groups, order, threshold, signed)
+    longest = items.agg(F.max(F.octet_length("text"))).first()[0] or 1
+    limit = min(WALK_ROWS, WALK_BYTES // longest)
+    if most <= limit:
+        return _walk_groups(rows, items, groups, order, threshold)
+    if least > limit:
+        return _dedup_large(rows, items, groups, order, threshold, signed)
+    few = cut_lineage(counts.filter(F.col("_rows") <= limit).select(*[F.col(g).alias(f"_g_{g}") for g in groups]))
+    same = F.lit(True)
+    for g in groups:
+        same = same & rows[g].eqNullSafe(few[f"_g_{g}"])
+    few = broadcast_if_small(few)
+    return _walk_groups(rows.join(few, same, "left_semi"), items, groups, order, threshold).unionByName(
+        _dedup_large(rows.join(few, same, "left_anti"), items, groups, order, threshold, signed))
+
+
+def _dedup_large(rows: DataFrame, items: DataFrame, groups: list[str], order: str, threshold: float,
+                 signed: DataFrame | None) -> DataFrame:
+    """As greedy_dedup, for groups of any size."""
     signed = cut_lineage(signatures(items, threshold)) if signed is None else signed
     placed = cut_lineage(
         rows.select(*groups, F.col(order).alias("ord"), "item_id")
@@ -143,15 +232,16 @@ def greedy_dedup(rows: DataFrame, items: DataFrame, groups: Sequence[str], order
     # first row of every distinct set in a group
     firsts = placed.filter(F.col("n") > 0).groupBy(*groups, "print").agg(
         F.min("ord").alias("ord"), F.min_by("item_id", "ord").alias("item_id"), F.min("n").alias("n"))
-    rivals = firsts.filter(_comparable(F.col("n"), threshold)).select(*groups, "ord", "item_id")
+    rivals = firsts.filter(_comparable(F.col("n"), threshold)).select(*groups, "ord", "item_id", "n")
     keys = [*groups, "block"]
     blocks = rivals.join(signed.select("item_id", "blocks"), "item_id").select(
-        *groups, "ord", "item_id", F.explode("blocks").alias("block")).persist(StorageLevel.MEMORY_AND_DISK)
+        *groups, "ord", "item_id", "n", F.explode("blocks").alias("block")).persist(StorageLevel.MEMORY_AND_DISK)
     shared = cut_lineage(blocks.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > 1))
     total = shared.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
     dropped = []
     if total:
-        undecided = cut_lineage(_join_blocks(blocks, shared, keys, total).select(*keys, "ord", "item_id"))
+        undecided = cut_lineage(_join_blocks(blocks, shared, keys, total).select(
+            *keys, "ord", "item_id", "n", F.col("block").alias("base"), F.array().cast("array<bigint>").alias("used")))
         dropped, undecided = _thin_out(undecided, items, groups, threshold)
         if undecided is not None:
             dropped += _settle(_duplicates(undecided, items, groups, threshold), groups)
@@ -174,25 +264,68 @@ def _join_blocks(rows: DataFrame, blocks: DataFrame, keys: list[str], total: int
     return join_hot_apart(rows, blocks, keys, "_rows", total)
 
 
+def _rarest(items: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
+    """The hashes of the rarest words of the wanted items, rarest first, as many as splits may need
+    (item_id, d, rare). Rarity is counted among these items."""
+    words = cut_lineage(items.join(broadcast_if_small(wanted), "item_id", "left_semi").select(
+        "item_id", F.explode(token_set("text")).alias("word")))
+    counts = cut_lineage(words.groupBy("word").agg(F.count("*").alias("df")))
+    listed = words.join(counts, "word").groupBy("item_id").agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("df", F.xxhash64("word").alias("w")))).alias("r"))
+    d = _differences(F.col("n"), threshold)
+    return cut_lineage(listed.select("item_id", d.alias("d"), F.slice("r.w", F.lit(1), d + RARE_WORDS).alias("rare")))
+
+
+def _split(rows: DataFrame, items: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """Rows of blocks, dealt into smaller blocks by one rare word more."""
+    rare = _rarest(items, rows.select("item_id").distinct(), threshold)
+    level = F.size("used") + 1
+    more = F.array_except(F.slice("rare", F.lit(1), F.col("d") + level), F.col("used"))
+    columns = [c for c in rows.columns if c not in ("block", "used")]
+    return (
+        rows.join(rare, "item_id")
+        .select(*columns, F.col("used").alias("u"), F.explode(more).alias("w"))
+        .select(*columns, F.array_sort(F.concat("u", F.array("w"))).alias("used"))
+        .withColumn("block", F.xxhash64("base", "used")).dropDuplicates([*keys, "ord"])
+    )
+
+
+def _splittable(n: Column, used: Column, threshold: float) -> Column:
+    """A block of sets of n words may be split by one word more."""
+    level = F.size(used)
+    return (level < RARE_WORDS) & ((level == 0) | (F.pow(_differences(n, threshold) + 1, level + 1) <= SPLIT_BLOCKS))
+
+
 def _thin_out(undecided: DataFrame, items: DataFrame, groups: list[str],
               threshold: float) -> tuple[list[DataFrame], DataFrame | None]:
     """Decide rows until every block has few: the dropped rows (groups, ord) and the rows
     (groups, block, ord, item_id) of the blocks left, None if there are none."""
-    dropped = []
+    dropped, last = [], None
     keys = [*groups, "block"]
+    rest = ["ord", "item_id", "n", "base", "used"]
     while True:
-        firsts = cut_lineage(undecided.groupBy(*keys).agg(
+        firsts = undecided.groupBy(*keys).agg(
             F.min("ord").alias("first"), F.min_by("item_id", "ord").alias("pivot_item"),
-            F.count("*").alias("_rows"),
-        ).filter(F.col("_rows") > 1))
-        total, largest = firsts.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.max("_rows")).first()
+            F.count("*").alias("_rows"), F.max("n").alias("_n"), F.first("used").alias("_used"),
+        ).filter(F.col("_rows") > 1)
+        seen = firsts.join(last, keys, "left") if last is not None else firsts.withColumn("_last", F.lit(None).cast("long"))
+        # a block that was thinned out and has more than half its rows left is split
+        stuck = (F.col("_rows") > FEW_ROWS) & (F.col("_rows") * 2 > F.col("_last")) & _splittable(F.col("_n"), F.col("_used"), threshold)
+        firsts = cut_lineage(seen.withColumn("_stuck", F.coalesce(stuck, F.lit(False))).drop("_last", "_n", "_used"))
+        total, largest, any_stuck = firsts.agg(
+            F.coalesce(F.sum("_rows"), F.lit(0)), F.max("_rows"), F.max("_stuck")).first()
         if total == 0:
             return dropped, None
         # blocks with one row left decide nothing and leave the table here
-        live = _join_blocks(undecided, firsts, keys, total).drop("_rows")
+        live = _join_blocks(undecided, firsts, keys, total)
         if largest <= FEW_ROWS:
             return dropped, live.select(*keys, "ord", "item_id")
         live = cut_lineage(live)
+        last = firsts.select(*keys, F.col("_rows").alias("_last"))
+        if any_stuck:
+            parts = _split(live.filter("_stuck").select(*keys, *rest), items, threshold, keys)
+            undecided = cut_lineage(live.filter(~F.col("_stuck")).select(*keys, *rest).unionByName(parts.select(*keys, *rest)))
+            continue
         leads = cut_lineage(
             live.groupBy(*groups, "ord").agg(F.bool_and(F.col("ord") == F.col("first")).alias("lead"))
             .filter("lead").select(*groups, F.col("ord").alias("first"))
@@ -207,7 +340,7 @@ def _thin_out(undecided: DataFrame, items: DataFrame, groups: list[str],
         dropped.append(gone)
         decided = gone.unionByName(leads.withColumnRenamed("first", "ord"))
         undecided = cut_lineage(
-            live.select(*keys, "ord", "item_id")
+            live.select(*keys, *rest)
             .join(broadcast_if_small(decided), [*groups, "ord"], "left_anti")
         )
 
@@ -228,8 +361,47 @@ def _duplicates(rows: DataFrame, items: DataFrame, groups: list[str], threshold:
     return _compare(cut_lineage(pairs), items, threshold).select(*groups, "first", "ord")
 
 
+def _walk_pairs(groups: list[str]):
+    """The order rule on all pairs of some components: in order, a row is dropped if a kept one comes first."""
+
+    def walk(pairs: pa.Table) -> pa.Table:
+        dropped = {}
+        keys = list(map(repr, zip(*[pairs.column(g).to_pylist() for g in groups]))) or [""] * pairs.num_rows
+        rows = zip(pairs.column("ord").to_pylist(), pairs.column("first").to_pylist(), keys, range(pairs.num_rows))
+        for later, first, key, at in sorted(rows, key=lambda r: r[0]):
+            if (key, first) not in dropped and (key, later) not in dropped:
+                dropped[key, later] = at
+        return pairs.select([*groups, "ord"]).take(pa.array(list(dropped.values()), pa.int64()))
+
+    return walk
+
+
 def _settle(pairs: DataFrame, groups: list[str]) -> list[DataFrame]:
-    """Tables of rows (groups, ord) the order rule drops, one per round."""
+    """Tables of rows (groups, ord) the order rule drops, from all duplicate pairs (groups, first, ord).
+
+    A row depends on rows of its component alone, so components are walked apart. Node and
+    component names are hashes: two that fall together are walked together, which changes nothing.
+    """
+    pairs = cut_lineage(pairs)
+    n = pairs.count()
+    if not n:
+        return []
+    schema = T.StructType([pairs.schema[c] for c in (*groups, "ord")])
+    if n <= WALK_PAIRS:
+        return [cut_lineage(pairs.groupBy(F.lit(0).alias("task")).applyInArrow(_walk_pairs(groups), schema))]
+    named = pairs.withColumn("a", F.xxhash64(*groups, "first")).withColumn("b", F.xxhash64(*groups, "ord"))
+    roots = cut_lineage(components(named.select("a", "b").filter("a <> b")).withColumnRenamed("node", "a"))
+    named = cut_lineage(named.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a")).drop("a", "b"))
+    sizes = cut_lineage(named.groupBy("root").agg(F.count("*").alias("_pairs")))
+    # components of few pairs share tasks
+    tasks = max(named.sparkSession.sparkContext.defaultParallelism, n // WALK_PAIRS)
+    small = named.join(sizes.filter(F.col("_pairs") <= WALK_PAIRS).select("root"), "root", "left_semi")
+    walked = small.groupBy(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task")).applyInArrow(_walk_pairs(groups), schema)
+    large = named.join(broadcast_if_small(sizes.filter(F.col("_pairs") > WALK_PAIRS).select("root")), "root", "left_semi").drop("root")
+    return [cut_lineage(walked), *_settle_in_rounds(large, groups)]
+
+
+def _settle_in_rounds(pairs: DataFrame, groups: list[str]) -> list[DataFrame]:
     dropped = []
     pairs = cut_lineage(pairs)
     while not pairs.isEmpty():
@@ -251,6 +423,9 @@ def duplicate_pairs(rows: DataFrame, items: DataFrame, groups: Sequence[str], or
     (groups, dup_item, kept_item, similarity). One row per dropped row, however many
     copies a text has."""
     groups = list(groups)
+    if not rows.filter(_any_null(groups)).isEmpty():
+        named = rows.withColumn("_group", F.struct(*groups))
+        return duplicate_pairs(named, items, ["_group"], order, threshold).select("_group.*", "dup_item", "kept_item", "similarity")
     signed = cut_lineage(signatures(items, threshold))
     marked = greedy_dedup(rows, items, groups, order, threshold, signed).select(
         *groups, F.col(order).alias("ord"), "item_id", "kept")

@@ -59,16 +59,71 @@ def test_chain_ties_and_empty_texts(spark):
     assert want["1", 2] and not want["1", 1] and want["2", 1] and not want["4", 1] and want["3", 1]
 
 
-@pytest.mark.parametrize("few,threshold", [(64, 0.95), (2, 0.95), (3, 0.9)])
-def test_equals_plain_walk(spark, monkeypatch, few, threshold):
+@pytest.mark.parametrize("few,threshold,walk,pairs", [
+    (64, 0.95, 256, 9), (64, 0.95, 0, 100_000), (2, 0.95, 0, 5), (3, 0.9, 0, 40), (16, 0.8, 130, 1)])
+def test_equals_plain_walk(spark, monkeypatch, few, threshold, walk, pairs):
+    """Small groups as arrays, large ones by blocks; pairs in one task, by component, and in rounds."""
     monkeypatch.setattr(dedup, "FEW_ROWS", few)
+    monkeypatch.setattr(dedup, "WALK_ROWS", walk)
+    monkeypatch.setattr(dedup, "WALK_PAIRS", pairs)
     rows = sample()
     got, _ = run(spark, rows, threshold=threshold)
     want = {k: v is None for k, v in greedy(rows, threshold).items()}
     assert {(r.g, r.ord): r.kept for r in got.collect()} == want
 
 
-def test_pairs_name_the_first_kept_partner(spark):
+def templates(rnd, n_templates, copies):
+    """Filled-in templates: alike in 100 words of 120, yet not duplicates, but for a few."""
+    rows = []
+    for i in range(n_templates * copies):
+        t = i % n_templates
+        filled = [f"f{rnd.randrange(400)}" for _ in range(20)]
+        if rows and rnd.random() < 0.1:  # a copy with another word
+            filled = rows[rnd.randrange(len(rows)) // n_templates * n_templates + t if i > n_templates * 2 else 0][2].split()[100:-1] + [f"n{i}"]
+        rows.append(("all", i, " ".join([f"t{t}w{k}" for k in range(100)] + filled)))
+    return rows
+
+
+def test_templates_are_split_by_their_rare_words(spark, monkeypatch):
+    """Blocks that only hold words of a template do not shrink by comparing; few rounds must do."""
+    monkeypatch.setattr(dedup, "FEW_ROWS", 8)
+    rounds, compare = [], dedup._compare
+    monkeypatch.setattr(dedup, "_compare", lambda *a: rounds.append(1) or compare(*a))
+    rows = templates(random.Random(3), 3, 300)
+    got, df = run(spark, rows)
+    plain = greedy(rows)
+    assert {r.ord for r in got.filter("kept").collect()} == {o for (_, o), p in plain.items() if p is None}
+    assert len(rounds) <= 10 and any(p is not None for p in plain.values())
+    rounds.clear()
+    pairs = dedup.duplicate_pairs(df.select("g", "ord", "item_id"), df.select("item_id", "text"), ["g"], "ord")
+    assert {(r.g, r.dup_item): r.kept_item for r in pairs.collect()} == {k: p for k, p in plain.items() if p is not None}
+
+
+def test_null_groups_and_groups_of_mixed_size(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "WALK_ROWS", 20)
+    base = sample(4, 120)
+    rows = [("big", o, t) for _, o, t in base] + [(None, 1000 + o, t) for _, o, t in base[:12]] + [("s", 2000 + o, t) for _, o, t in base[:9]]
+    df = spark.createDataFrame([(g, o, o, t) for g, o, t in rows], "g string, ord long, item_id long, text string")
+    got = dedup.greedy_dedup(df.select("g", "ord", "item_id"), df.select("item_id", "text"), ["g"], "ord")
+    want = {k: v is None for k, v in greedy([(g or "", o, t) for g, o, t in rows]).items()}
+    assert got.columns == ["g", "ord", "item_id", "kept"]
+    assert {(r.g or "", r.ord): r.kept for r in got.collect()} == want
+    pairs = dedup.duplicate_pairs(df.select("g", "ord", "item_id"), df.select("item_id", "text"), ["g"], "ord").collect()
+    assert {(r.g or "", r.dup_item) for r in pairs} == {k for k, kept in want.items() if not kept}
+
+
+def test_components_of_a_hub_and_a_long_chain(spark):
+    from askgrid.operators.components import components
+
+    links = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 4999)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {**{i: 0 for i in range(300)}, **{1000 + i: 1000 for i in range(201)}, 4999: 4999, 5000: 4999}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_name_the_first_kept_partner(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "WALK_ROWS", 0)
     rows = sample(9, 150)
     _, df = run(spark, rows)
     got = dedup.duplicate_pairs(df.select("g", "ord", "item_id"), df.select("item_id", "text"), ["g"], "ord")
@@ -79,6 +134,7 @@ def test_pairs_name_the_first_kept_partner(spark):
 def test_a_third_of_all_rows_are_near_copies(spark, monkeypatch):
     """Hot blocks go through the joins for hot keys and one comparison per row."""
     monkeypatch.setattr(sizing, "HOT_KEY_ROWS", 50)
+    monkeypatch.setattr(dedup, "WALK_ROWS", 0)
     rows = [("all", i, words(range(200)) + f" copy{i}") for i in range(400)]
     rows += [("all", 400 + i, words(range(1000 * (i + 1), 1000 * (i + 1) + 30))) for i in range(400)]
     rows += [("all", 800 + i, "The same text again " + words(range(30))) for i in range(400)]
