@@ -51,7 +51,7 @@ def test_sentencepiece_equals_library(spark, docs):
     import sentencepiece
 
     path = public.path("piece_bpe_32k.model")
-    own, library = sentencepiece_codec.Codec(path, memo=500), sentencepiece.SentencePieceProcessor(model_file=path)
+    own, library = sentencepiece_codec.Codec(path, memo=50_000), sentencepiece.SentencePieceProcessor(model_file=path)
     for t in texts(3000, 14, 2):
         ids = own.encode(t).tolist()
         assert ids == library.encode(t), t
