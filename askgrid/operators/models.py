@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askgrid.functions.text import ENGLISH_STOP_WORDS
-from askgrid.operators.lexical import LexicalIndex, idf, query_terms
+from askgrid.operators.lexical import LexicalIndex, document_frequencies, idf, query_terms
 from askgrid.operators.sizing import broadcast_if_small, top_per_group
 from askgrid.session import cut_lineage
 
@@ -85,7 +85,7 @@ def keyword_subqueries(index: LexicalIndex, questions: DataFrame, n: int | None
     terms = cut_lineage(query_terms(
         questions.select(F.col("question_idx").alias("query_id"), F.col("question").alias("text")), stop_words))
     vocabulary = broadcast_if_small(terms.select("term").distinct())
-    frequency = index.postings.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
+    frequency = document_frequencies(index.terms.join(vocabulary, "term", "left_semi"))
     weighted = terms.join(frequency, "term").withColumn("w", F.round(idf(F.col("df"), index.n_nodes), 6))
     if n is not None:
         weighted = top_per_group(weighted, ["query_id"], [F.col("w").desc(), F.col("term")], n)

@@ -73,6 +73,7 @@ def save_index(index: RetrievalIndex, path: str, buckets: int = 200) -> None:
     spark = index.nodes.sparkSession
     index.nodes.write.parquet(os.path.join(path, "nodes"))
     index.vectors.write.parquet(os.path.join(path, "vectors"))
+    index.lexical.terms.write.parquet(os.path.join(path, "terms"))
     table = f"askgrid_{uuid.uuid4().hex}"
     (index.lexical.postings.repartition(buckets, "node_id").write.bucketBy(buckets, "node_id")
         .option("path", os.path.join(path, "postings")).saveAsTable(table))
@@ -94,7 +95,7 @@ def load_index(spark: SparkSession, path: str, embed: EmbedFactory | None = None
         f"CREATE TABLE {table} ({columns}) USING parquet "
         f"CLUSTERED BY (node_id) INTO {facts.buckets} BUCKETS LOCATION '{place}'"
     )
-    lexical = LexicalIndex(spark.table(table), facts.n_nodes, facts.avg_len)
+    lexical = LexicalIndex(spark.table(table), facts.n_nodes, facts.avg_len, spark.read.parquet(os.path.join(path, "terms")))
     return RetrievalIndex(
         spark.read.parquet(os.path.join(path, "nodes")), lexical,
         spark.read.parquet(os.path.join(path, "vectors")), tuple(facts.stop_words), embed,

@@ -467,7 +467,7 @@ def join_update_mask(t: Tables) -> DataFrame:
 
 @query
 def term_statistics(t: Tables) -> DataFrame:
-    stats = lexical.corpus_statistics(t.lexical.postings, t.lexical.n_nodes)
+    stats = lexical.corpus_statistics(t.lexical)
     return stats.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 

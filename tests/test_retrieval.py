@@ -76,6 +76,41 @@ def test_scores_do_not_shuffle_the_term_table(spark):
     assert before_cache.count("Exchange hashpartitioning") == 1
 
 
+def test_terms_that_cannot_reach_the_threshold_are_left_out(spark, monkeypatch):
+    """Long queries of a few rare and many common words over nodes of very different lengths."""
+    monkeypatch.setattr(lexical, "FIRST_NODES", 2)
+    rng = np.random.default_rng(7)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(150)]
+    docs = []
+    for i in range(400):
+        words = [str(w) for w in rng.choice(common, int(rng.integers(3, 60)))] + [str(w) for w in rng.choice(rare, int(rng.integers(0, 6)))]
+        docs.append((i, " ".join(words)))
+    docs += [(1000 + i, docs[3][1]) for i in range(30)]  # ties go by id
+    texts = [" ".join([*common[:9], *map(str, rng.choice(rare, 5))]) for _ in range(12)] + ["c1 c2 c3", "r1", "unknown", docs[3][1]]
+    index = lexical.build_lexical_index(spark.createDataFrame(docs, "node_id long, text string").repartition(4))
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    got = {}
+    for r in lexical.bm25_topk(index, queries, k=4, steps=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.node_id, r.score))
+    for q, text in enumerate(texts):
+        want = plain_bm25(docs, text)[:4]
+        assert [i for i, _ in got.get(q, [])] == [i for i, _ in want]
+        assert [s for _, s in got.get(q, [])] == pytest.approx([s for _, s in want], abs=2e-6)
+    once = lexical.bm25_topk(index, queries, k=4, steps=False).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.node_id) for r in once] == [(q, i) for q in sorted(got) for i, _ in got[q]]
+    read = lexical.postings_read(index, queries, 4).first()
+    assert read.n_left and read.n_first + read.n_full + read.n_found + read.n_left < read.n_postings / 2
+    monkeypatch.setattr(lexical, "STEPS_FROM", 0)  # taken by itself where many rows are asked for
+    assert lexical.bm25_topk(index, queries, k=4).count() == len(once)
+
+
+def test_merged_term_tables_are_those_of_the_whole(spark):
+    index = lexical.build_lexical_index(tables(spark, [])[0])
+    parts = [lexical.term_table(index.postings.filter(f"node_id % 2 = {i}")) for i in (0, 1)]
+    merged = lexical.merge_term_tables(parts[0].unionByName(parts[1])).select(index.terms.columns)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, index.terms.collect()))
+
+
 def test_knn_equals_numpy_with_ties(spark, monkeypatch):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(300, 8)).round(1)
