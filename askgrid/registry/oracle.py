@@ -327,7 +327,79 @@ def assessment() -> str:
     ) + """SELECT row_number() OVER (ORDER BY question_idx) - 1 AS question_id, * FROM routed WHERE answer IS NOT NULL"""
 
 
+# The suffixes of the published stemming steps, written out apart from the code under test.
+_SUFFIXES_2 = dict(p.split(":") for p in (
+    "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate "
+    "ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble").split())
+_SUFFIXES_3 = dict(p.split(":") for p in "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split())
+_SUFFIXES_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+
+
+def _vc(shape: str) -> str:
+    return f"((len({shape}) - len(replace({shape}, 'VC', ''))) // 2)"
+
+
+def _less(c: str, n: str | int) -> str:
+    return f"left({c}, (len({c}) - {n})::BIGINT)"
+
+
+def _shape(word: str) -> str:
+    known = f"regexp_replace(regexp_replace({word}, '[^aeiouy]', 'C', 'g'), '[aeiou]', 'V', 'g')"
+    return f"""list_reduce(list_prepend('', string_split({known}, '')), lambda a, x:
+      a || CASE WHEN x <> 'y' THEN x WHEN right(a, 1) = 'C' THEN 'V' ELSE 'C' END)"""
+
+
+def _swap(name: str, source: str, rules: dict[str, str]) -> str:
+    """Words (term, w, s) with the longest suffix of the rules replaced."""
+    new = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.items())
+    base, shape = _less("w", "len(x)"), _less("s", "len(x)")
+    return f"""
+{name} AS (
+  SELECT term, CASE WHEN hit THEN w2 ELSE w END AS w, CASE WHEN hit THEN {shape} || regexp_replace(regexp_replace(
+           substr(w2, len({base}) + 1), '[aeiou]', 'V', 'g'), '[a-z]', 'C', 'g') ELSE s END AS s
+  FROM (SELECT *, len(x) > 0 AND {_vc(shape)} > 0 AS hit, {base} || CASE x {new} END AS w2
+        FROM (SELECT *, regexp_extract(w, '({"|".join(rules)})$') AS x FROM {source})))"""
+
+
+def porter(name: str, source: str) -> str:
+    """Stems (term, stem) of a table of terms; suffix by suffix, as published."""
+    cvc = "(s LIKE '%CVC' AND NOT regexp_matches(w, '[wxy]$'))"
+    cvc_e = f"({_less('s', 1)} LIKE '%CVC' AND NOT regexp_matches({_less('w', 1)}, '[wxy]$'))"
+    m_e = _vc(_less("s", 1))
+    return f"""
+{name}_0 AS (SELECT term, term AS w, {_shape('term')} AS s FROM ({source})),
+{name}_1a AS (
+  SELECT term, {_less('w', 'n')} AS w, {_less('s', 'n')} AS s FROM (SELECT *, CASE WHEN regexp_matches(w, '(sses|ies)$') THEN 2
+    WHEN regexp_matches(w, '[^s]s$') THEN 1 ELSE 0 END AS n FROM {name}_0)),
+{name}_1b AS (
+  SELECT term, {_less('w', 'n')} AS w, {_less('s', 'n')} AS s, x <> 'eed' AND n > 0 AS cut FROM (
+    SELECT *, CASE WHEN x = 'eed' THEN CASE WHEN {_vc(_less('s', 3))} > 0 THEN 1 ELSE 0 END
+      WHEN x <> '' AND contains({_less('s', 'len(x)')}, 'V') THEN len(x) ELSE 0 END AS n
+    FROM (SELECT *, regexp_extract(w, '(eed|ed|ing)$') AS x FROM {name}_1a))),
+{name}_1c AS (
+  SELECT term, CASE WHEN grow THEN w || 'e' WHEN halve THEN {_less('w', 1)} ELSE w END AS w,
+         CASE WHEN grow THEN s || 'V' WHEN halve THEN {_less('s', 1)} ELSE s END AS s
+  FROM (SELECT *, cut AND (regexp_matches(w, '(at|bl|iz)$') OR ({_vc('s')} = 1 AND {cvc})) AS grow,
+          cut AND right(w, 1) = substr(w, len(w) - 1, 1) AND len(w) > 1 AND s LIKE '%C' AND right(w, 1) NOT IN ('l', 's', 'z') AS halve
+        FROM {name}_1b)),
+{name}_1d AS (
+  SELECT term, CASE WHEN turn THEN {_less('w', 1)} || 'i' ELSE w END AS w, CASE WHEN turn THEN {_less('s', 1)} || 'V' ELSE s END AS s
+  FROM (SELECT *, w LIKE '%y' AND contains({_less('s', 1)}, 'V') AS turn FROM {name}_1c)),{_swap(name + '_2', name + '_1d', _SUFFIXES_2)},{
+    _swap(name + '_3', name + '_2', _SUFFIXES_3)},
+{name}_4 AS (
+  SELECT term, {_less('w', 'n')} AS w, {_less('s', 'n')} AS s FROM (
+    SELECT *, CASE WHEN len(x) > 0 AND {_vc(_less('s', 'len(x)'))} > 1 AND (w NOT LIKE '%ion' OR regexp_matches(w, '[st]ion$'))
+      THEN len(x) ELSE 0 END AS n FROM (SELECT *, regexp_extract(w, '({"|".join(_SUFFIXES_4)})$') AS x FROM {name}_3))),
+{name}_5 AS (
+  SELECT term, CASE WHEN drops THEN {_less('w', 1)} ELSE w END AS w, CASE WHEN drops THEN {_less('s', 1)} ELSE s END AS s
+  FROM (SELECT *, w LIKE '%e' AND ({m_e} > 1 OR ({m_e} = 1 AND NOT {cvc_e})) AS drops FROM {name}_4)),
+{name} AS MATERIALIZED (
+  SELECT term, CASE WHEN len(term) <= 2 THEN term WHEN w LIKE '%ll' AND {_vc('s')} > 1 THEN {_less('w', 1)} ELSE w END AS stem
+  FROM {name}_5)"""
+
+
 ORACLE: dict[str, str] = {
+    "udf_stem": with_(DOC_INDEX, porter("stems", "SELECT DISTINCT term FROM doc_postings")) + "SELECT term, stem FROM stems",
     "src_markdown": "SELECT text || chr(10) AS text, length(text) + 1 AS n_chars FROM benchmark",
     "src_page_assembly": PAGED,
     "src_union_documents": ALL_DOCS,

@@ -739,8 +739,7 @@ def keyword_subquery(t: Tables) -> DataFrame:
 
 @query
 def udf_stem(t: Tables) -> DataFrame:
-    stems = stem_table(t.lexical.postings.select("term").distinct())
-    return stems.groupBy("stem").agg(F.count("*").alias("n_terms"))
+    return stem_table(t.lexical.terms.select("term").distinct())
 
 
 # --- composite plans ---------------------------------------------------------------------

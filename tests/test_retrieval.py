@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from askgrid.functions.stem import porter_stem
+from plain_porter import porter_stem
 from askgrid.operators import candidates, chunking, dense, lexical, merging, models, sizing
 
 DOCS = [
