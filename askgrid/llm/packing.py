@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.rows import text_bytes, written
+from askgrid.llm.rows import text_bytes, whole_ids, written
 
 CAPACITY = 2048
 SLACK = 64  # a rest is left whole if at most 1/SLACK of its slot stays unused
@@ -143,9 +143,10 @@ def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[bytes], bytes]], end
     pieces stand gapless in their sequence, a sequence holds at most ``capacity`` ids.
 
     Null and empty texts are the end id alone. A text of any length is cut; rows that repeat are
-    packed each. Null ids are carried. An empty table gives no rows.
+    packed each. Null ids are carried; ids that are no whole numbers raise TypeError. An empty table
+    gives no rows.
     """
-    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    data = whole_ids(docs).select("doc_id", text_bytes().alias("text"))
     packed = written(data.mapInArrow(_first_round(tokenizer, end_id, capacity, slack), SCHEMA), "packed")
     done = packed.filter("sequence_id is not null")
     rest = packed.filter("sequence_id is null")

@@ -1,17 +1,22 @@
-"""Repeated passages across documents, by suffix trees over groups of a common prefix.
+"""Repeated passages across documents, by groups of suffixes with a common prefix.
 
-All suffixes of all documents (by words) that are long enough to hold a window are to be sorted
+The suffixes of all documents (by words) that are long enough to hold a window are to be sorted
 into groups small enough for memory. A group is named by an anchor: of the k-word grams inside a
 window the one with the smallest hash. The suffixes that start at an anchor have its k words as
 prefix; a record carries such a suffix as far as its windows reach, and the words before the
 anchor that they reach back to. Equal windows have equal anchors, so they meet in one group.
 
+That replaces trees over the suffixes at every word: those would be sent once for each of their
+places, some seven times as many records, and only their inner nodes at the depth of the
+window are asked for. What is found are the nodes of that depth, not the maximal repeats below.
+
 1. Documents are dealt into chunks; each sends the distinct anchors of its records to the
    range of hash values they fall in. An anchor found in one document only has a tree with
    one leaf and no inner node: it can hold no repeat, and is left out.
 2. Each chunk sends its distinct records of the other anchors, with the smallest doc_id they
    have there. Where an anchor has more records than a group should hold, the prefix is made
    longer, to the whole window, and each window is sent to the group of its own words.
+   Rows of one id and text lose the same words; where there are many, one goes for all.
 3. A group ranks its suffixes by prefix doubling. Suffixes with one rank at the depth of the
    window are the leaves under one inner node that deep; the smallest doc_id under it goes back
    to the chunks, which mark the words their documents lose.
@@ -30,31 +35,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.rows import parts_for
+from askgrid.llm.rows import parts_for, whole_ids, written
+from askgrid.operators.sizing import broadcast_if_small
 
 WINDOW = 13
 GRAM = 6
 CHUNK_BYTES = 4 << 20
 GROUP_RECORDS = 20_000  # records of one anchor, beyond which its prefix is made longer
 NO_ID = np.iinfo(np.int64).max  # a null id: larger than every other
-MEMO = 150_000
+COPIES = 64  # rows of one id and text, beyond which they are handled as one row
 ONE, MULTI, LONG = 0, 1, 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        got = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = got
-        return got
-
-
-_words = _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -76,7 +69,7 @@ class Chunk:
     anchor. Windows that reach into the next document are none.
     """
 
-    def __init__(self, docs: pa.Table, window: int, gram: int, buckets: int):
+    def __init__(self, docs: pa.Table, window: int, gram: int):
         ids = docs.column("doc_id").to_pylist()
         texts = docs.column("text").to_pylist()
         # rows arrive in any order; equal rows are alike
@@ -87,10 +80,10 @@ class Chunk:
         for i in self.order:
             self.words += texts[i].split()
             ends.append(len(self.words))
-        self.ends, self.window, self.buckets = np.array(ends, np.int64), window, buckets
+        self.ends, self.window = np.array(ends, np.int64), window
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         n = max(0, len(self.words) - window + 1)
-        h = np.fromiter(map(_words.__getitem__, self.words), np.uint64, len(self.words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         if n:
             g = _grams(h, gram)
             low, at = g[:n].copy(), np.zeros(n, np.int8)
@@ -111,10 +104,9 @@ class Chunk:
             anchor = self.windows = np.zeros(0, np.uint64)
         self.anchors, self.place = np.unique(anchor, return_inverse=True)
         self.record_doc = self.doc[self.first]
-        self.bounds = bounds(self.anchors, buckets)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per anchor: whether two ids have it here; how many distinct records (255 at most)."""
+        """Per anchor: whether two ids have it here; how many distinct records."""
         n = len(self.anchors)
         owner = self.ids[self.record_doc]
         low, high = np.full(n, NO_ID), np.full(n, np.iinfo(np.int64).min)
@@ -125,7 +117,7 @@ class Chunk:
         p, c = self.place[order], content[order]
         new = np.ones(len(p), bool)
         new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
-        return low < high, np.minimum(np.bincount(p[new], minlength=n), 255).astype(np.uint8)
+        return low < high, np.bincount(p[new], minlength=n).astype("<u4")
 
     def chosen(self, codes: np.ndarray):
         """Distinct records to send, in order of their first place: lists of key, text, windows and
@@ -153,10 +145,12 @@ class Chunk:
         return keys[head], texts, width[head], low, (firsts, width, which)
 
 
-def bounds(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of ``buckets`` equal ranges of hash values starts."""
-    edges = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(sorted_keys, edges), len(sorted_keys))
+def runs(sorted_keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """The ranges of hash values the keys fall in, a range being all that share their first
+    ``bits`` bits: number, start and end of each that has keys."""
+    part = sorted_keys >> np.uint64(64 - bits) if bits else np.zeros(len(sorted_keys), np.uint64)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    return list(zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)]))
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -168,19 +162,17 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
-def _scan(window: int, gram: int, buckets: int):
+def _scan(window: int, gram: int, bits: int):
     """Step 1 in a chunk: its anchors, by range."""
 
     def run(docs: pa.Table) -> pa.Table:
-        chunk = Chunk(docs, window, gram, buckets)
+        chunk = Chunk(docs, window, gram)
         shared, count = chunk.counts()
         rows = {"bucket": [], "chunk": [], "anchors": [], "shared": [], "records": []}
         no = docs.column("chunk")[0].as_py()
-        for b in range(buckets):
-            lo, hi = chunk.bounds[b], chunk.bounds[b + 1]
-            if hi > lo:
-                for k, v in zip(rows, (b, no, planes(chunk.anchors[lo:hi]), shared[lo:hi].tobytes(), count[lo:hi].tobytes())):
-                    rows[k].append(v)
+        for b, lo, hi in runs(chunk.anchors, bits):
+            for k, v in zip(rows, (b, no, planes(chunk.anchors[lo:hi]), shared[lo:hi].tobytes(), count[lo:hi].tobytes())):
+                rows[k].append(v)
         return pa.table(rows, pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("anchors", pa.binary()),
                                          ("shared", pa.binary()), ("records", pa.binary())]))
 
@@ -194,7 +186,7 @@ def _decide(limit: int):
         chunks, anchors = sent.column("chunk").to_pylist(), [unplanes(b) for b in sent.column("anchors").to_pylist()]
         every, place = np.unique(np.concatenate(anchors), return_inverse=True)
         shared = np.frombuffer(b"".join(sent.column("shared").to_pylist()), np.bool_)
-        records = np.frombuffer(b"".join(sent.column("records").to_pylist()), np.uint8)
+        records = np.frombuffer(b"".join(sent.column("records").to_pylist()), "<u4")
         chunks_with = np.bincount(place, minlength=len(every))
         several = (chunks_with > 1) | (np.bincount(place, weights=shared, minlength=len(every)) > 0)
         many = np.bincount(place, weights=records, minlength=len(every)) > limit
@@ -211,20 +203,14 @@ def _codes(answers: pa.Table, kind: int) -> dict[int, bytes]:
                                     answers.column("data").to_pylist()) if k == kind}
 
 
-def _chosen(docs: pa.Table, answers: pa.Table, window: int, gram: int, buckets: int):
-    chunk = Chunk(docs, window, gram, buckets)
+def _chosen(docs: pa.Table, answers: pa.Table, window: int, gram: int):
+    chunk = Chunk(docs, window, gram)
     by_bucket = _codes(answers, 0)
     codes = np.frombuffer(b"".join(by_bucket[b] for b in sorted(by_bucket)), np.uint8)
     return chunk, chunk.chosen(codes)
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the records by key, and the bounds of the buckets in it."""
-    order = np.argsort(keys, kind="stable")
-    return order, bounds(keys[order], buckets)
-
-
-def _send(window: int, gram: int, buckets: int):
+def _send(window: int, gram: int, bits: int):
     """Step 2: the distinct records of a chunk, by the range of their key."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -232,16 +218,15 @@ def _send(window: int, gram: int, buckets: int):
         schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("texts", pa.binary()),
                             ("width", pa.binary()), ("low", pa.binary())])
         if docs.num_rows and answers.num_rows:
-            _, (keys, texts, width, low, _) = _chosen(docs, answers, window, gram, buckets)
-            order, bound = _by_bucket(keys, buckets)
+            _, (keys, texts, width, low, _) = _chosen(docs, answers, window, gram)
+            order = np.argsort(keys, kind="stable")
             width = width.astype(np.uint8)
             no = docs.column("chunk")[0].as_py()
-            for b in range(buckets):
-                some = order[bound[b]:bound[b + 1]]
-                if len(some):
-                    for k, v in zip(rows, (b, no, planes(keys[some]), b"\n".join([texts[i] for i in some.tolist()]),
-                                           width[some].tobytes(), low[some].tobytes())):
-                        rows[k].append(v)
+            for b, lo, hi in runs(keys[order], bits):
+                some = order[lo:hi]
+                for k, v in zip(rows, (b, no, planes(keys[some]), b"\n".join([texts[i] for i in some.tolist()]),
+                                       width[some].tobytes(), low[some].tobytes())):
+                    rows[k].append(v)
         return pa.table(rows, schema)
 
     return run
@@ -302,14 +287,14 @@ def _trees(window: int):
     return run
 
 
-def _mark(window: int, gram: int, buckets: int, schema: pa.Schema):
+def _mark(window: int, gram: int, schema: pa.Schema):
     """Step 3 in a chunk: words that lie in a window some smaller id has too."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        chunk, (keys, _, width, _, (first, count, which)) = _chosen(docs, answers, window, gram, buckets)
-        order, _ = _by_bucket(keys, buckets)
+        chunk, (keys, _, width, _, (first, count, which)) = _chosen(docs, answers, window, gram)
+        order = np.argsort(keys, kind="stable")
         begin = np.zeros(len(order), np.int64)
         begin[order] = np.cumsum(width[order]) - width[order]
         got = _codes(answers, 1)
@@ -336,7 +321,7 @@ def _mark(window: int, gram: int, buckets: int, schema: pa.Schema):
             else:
                 spans.append([])
             texts.append(b" ".join(words))
-        out = [docs.column("row").combine_chunks().take(pa.array(chunk.order, pa.int64())), pa.array(texts, pa.binary()),
+        out = [docs.column("row").combine_chunks().take(pa.array(chunk.order, pa.int64())).cast(schema.field("row").type), pa.array(texts, pa.binary()),
                pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, schema.field("spans").type)]
         return pa.Table.from_arrays(out, ["row", "kept", "n_words", "n_removed", "spans"])
 
@@ -355,27 +340,51 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chun
     another null. Rows that repeat an id do not remove each other's words. Repeats inside
     one document stay. A text of any length is one row. An empty table gives no rows.
     """
-    chunks = parts_for(docs, chunk_bytes)
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"),
-        data.alias("text"), F.struct(*others).alias("row")).repartition(chunks, "chunk")
+    ids = whole_ids(docs).schema["doc_id"].dataType
+    base = docs.select(F.col("doc_id").cast(ids).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+                       F.struct(*others).alias("row"))
+    key = F.xxhash64("doc_id", "text").alias("key")
+    hot = written(base.select(key).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > COPIES).select("key"), "hot")
+    if hot.isEmpty():
+        return _removed(base, window, gram, chunk_bytes, group_records)
+    # Rows of one id and text lose the same words: one of them goes through, the others follow it.
+    keyed, hot = base.withColumn("key", key), broadcast_if_small(hot)
+    copies = keyed.join(hot, "key", "left_semi").drop("key")
+    one = copies.groupBy("doc_id", "text").agg(F.first("row").alias("row"))
+    whole = F.struct("row", "doc_id", F.sha2("text", 256).alias("sha"))
+    both = keyed.join(hot, "key", "left_anti").drop("key").withColumn("row", F.struct("row", F.lit(None).cast(ids).alias("doc_id"), F.lit(None).cast(
+        "string").alias("sha"))).unionByName(one.withColumn("row", whole))
+    marked = written(_removed(written(both, "distinct"), window, gram, chunk_bytes, group_records), "marked")
+    facts = ["n_words", "n_removed", "kept", "spans"]
+    found = broadcast_if_small(marked.filter("row.sha is not null").select("row.doc_id", "row.sha", *facts))
+    follow = copies.select("row", "doc_id", F.sha2("text", 256).alias("sha"))
+    same = follow["doc_id"].eqNullSafe(found["doc_id"]) & (follow["sha"] == found["sha"])
+    columns = ["row", "kept", "n_words", "n_removed", "spans"]
+    return marked.filter("row.sha is null").withColumn("row", F.col("row.row")).select(*columns).unionByName(
+        follow.join(found, same).select(*columns))
+
+
+def _removed(base: DataFrame, window: int, gram: int, chunk_bytes: int, group_records: int) -> DataFrame:
+    """The three steps over all rows (doc_id, text, row); ``row`` is handed on."""
+    chunks = parts_for(base, chunk_bytes)
+    bits = (chunks - 1).bit_length()
+    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
     # All three passes read the same columns, so the text is shuffled once and its files read again.
     sent = dealt.groupBy("chunk").applyInArrow(
-        _scan(window, gram, chunks), "bucket int, chunk int, anchors binary, shared binary, records binary")
+        _scan(window, gram, bits), "bucket int, chunk int, anchors binary, shared binary, records binary")
     answer = "chunk int, bucket int, kind int, data binary"
     codes = sent.groupBy("bucket").applyInArrow(_decide(group_records), answer)
     records = dealt.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(
-        _send(window, gram, chunks), "bucket int, chunk int, keys binary, texts binary, width binary, low binary")
+        _send(window, gram, bits), "bucket int, chunk int, keys binary, texts binary, width binary, low binary")
     minima = records.groupBy("bucket").applyInArrow(_trees(window), answer)
     answers = codes.unionByName(minima)
     row = dealt.schema["row"].dataType.simpleString()
     out = f"row {row}, kept binary, n_words long, n_removed long, spans array<struct<start:int,end:int>>"
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], out).schema)
-    marked = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(window, gram, chunks, schema), out)
+    schema = to_arrow_schema(base.sparkSession.createDataFrame([], out).schema)
+    marked = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(window, gram, schema), out)
     return marked.withColumn("kept", F.col("kept").cast("string"))
 
 
@@ -388,9 +397,11 @@ def repeat_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def keep_first(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with repeated passages taken out and all columns in place. A text that lost nothing
     is as it was, one that lost all its words goes; ``n_chars`` follows the text."""
-    marked = remove_repeats(docs.withColumn("_text", F.col("text")), window)
-    rest = marked.filter((F.col("n_removed") == 0) | (F.col("kept") != ""))
-    text = F.when(F.col("n_removed") == 0, F.col("row._text")).otherwise(F.col("kept"))
-    size = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("kept")) if "n_chars" in docs.columns else None
-    return rest.select(*[text.alias("text") if c == "text" else size.cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars"
-                         else F.col(f"row.`{c}`") for c in docs.columns])
+    # the row as it was is one struct, so no name of it can clash
+    marked = remove_repeats(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")), window)
+    rest = marked.filter((F.col("n_removed") == 0) | (F.col("kept") != "")).select("n_removed", "kept", "row.whole")
+    same = F.col("n_removed") == 0
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    return rest.select(*[
+        (F.when(same, F.col(f"whole.`{c}`")).otherwise(new[c].cast(docs.schema[c].dataType)) if c in new else F.col(f"whole.`{c}`")).alias(c)
+        for c in docs.columns])

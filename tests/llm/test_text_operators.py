@@ -340,11 +340,64 @@ def test_language_id(spark, docs, none):
     assert sum(a == b for a, b in held) / len(held) > 0.95
     assert all(0 <= r.score <= 1 for r in out.values())
     assert language_id.identify(none).count() == 0
-    far = language_id.predict(spark.createDataFrame([(1, "ωψχ φυτ")], "doc_id long, text string"), language_id.train(
+    far = language_id.predict(spark.createDataFrame([(1, "ωψχ φυτ")], "doc_id long, text string"), *language_id.train(
         spark.createDataFrame([r[1:] for r in data], "text string, lang string"))).first()
     assert far.rejected
 
 
+def plain_grams(text):
+    """Counts of the letter n-grams of a text, one by one; None without a letter."""
+    signs = [ord(c) if c.isalpha() else 0 for c in text.lower()]
+    if not any(signs):
+        return None
+    line = [0]
+    for c in [*signs, 0]:
+        if c or line[-1]:
+            line.append(c)
+    line.append(0)
+    counts = np.zeros(language_id.BUCKETS)
+    for i in range(len(line) - 2):
+        for size in (1, 2, 3):
+            gram = line[i:i + size]
+            if (size == 1 and not gram[0]) or (size == 3 and not gram[1]):
+                continue
+            x = 0
+            for c in gram:
+                x = (x * 0x110000 + c) % 2**64
+            counts[(((x * 8 + size) * 0x9E3779B97F4A7C15 % 2**64) >> 40) % language_id.BUCKETS] += 1
+    return counts
+
+
+def test_language_id_equals_plain_tfidf_and_cosine(spark):
+    """Whole real texts, odd rows, clashing columns; all languages at once and in blocks."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(150).collect()
+    data = [tuple(r) for r in real] + [(9000, None, "en"), (9001, "12 !", "en"), (9002, "", None), (9003, "word " * 300_000, "xx"),
+                                       (9004, "twice the same", "en"), (9004, "twice the same", "en"), (None, "no id", "en")]
+    docs = spark.createDataFrame([(*r, 5, 1.0, "h") for r in data], "doc_id long, text string, lang string, row_id int, score double, h string")
+    idf, centroids = language_id.train(docs.select("text", "lang"))
+    table = centroids.orderBy("lang", "j").collect()
+    grams = [None if t is None else plain_grams(t) for _, t, _ in data]
+    known = [g for g, (_, _, lang) in zip(grams, data) if g is not None and lang is not None]
+    df = sum(g > 0 for g in known)
+    assert np.allclose(idf, np.log((1 + len(known)) / (1 + df)) + 1)
+    want = []
+    for (i, _, _), g in zip(data, grams):
+        if g is None:
+            want.append((str(i), "und", 0.0, True))
+            continue
+        v = np.where(g > 0, 1 + np.log(np.maximum(g, 1)), 0) * idf
+        v /= np.sqrt(v @ v)
+        score, j = max((float(np.dot(v, r.c)), -k) for k, r in enumerate(table))
+        want.append((str(i), table[-j].lang, min(score, 1.0), 1 - score > language_id.MARGIN * table[-j].radius))
+    for at_once in (256, 2):
+        got = language_id.predict(docs, idf, centroids, at_once).collect()
+        assert len(got) == len(want)
+        for r, w in zip(sorted(got, key=lambda r: (str(r.doc_id), r.score)), sorted(want, key=lambda w: (w[0], w[2]))):
+            assert (str(r.doc_id), r.lang_pred) == w[:2] and abs(r.score - w[2]) < 1e-5
+            edges = [language_id.MARGIN * c.radius for c in table if c.lang == r.lang_pred]
+            assert r.rejected == w[3] or min(abs(1 - r.score - e) for e in edges) < 1e-4
+
+
 def test_gram_counts_do_not_depend_on_windows(monkeypatch):
     text = "Ein Satz, der 12 Wörter hat; und\n\n noch   einer. " * 20
     whole = language_id.gram_counts(text)
@@ -359,9 +412,10 @@ def test_language_of_copies_is_learned(spark):
     data = [(t, lang) for lang, texts in copies.items() for t in texts for _ in range(4000)] + [("12 34 !", "dd")] * 50
     data += [("kalo " + "mi" * n, "aa") for n in range(1, 30)]
     model = language_id.train(spark.createDataFrame(data, "text string, lang string").repartition(5))
-    assert sorted(set(model["langs"])) == sorted(copies) and model["langs"].count("bb") == 2
+    langs = [r.lang for r in model[1].collect()]
+    assert sorted(set(langs)) == sorted(copies) and langs.count("bb") == 2
     ask = spark.createDataFrame([(i, t) for i, t in enumerate(t for ts in copies.values() for t in ts)], "doc_id long, text string")
-    assert [r.lang_pred for r in language_id.predict(ask, model).orderBy("doc_id").collect()] == ["aa", "bb", "bb", "cc"]
+    assert [r.lang_pred for r in language_id.predict(ask, *model).orderBy("doc_id").collect()] == ["aa", "bb", "bb", "cc"]
 
 
 def test_smallest_hashes_do_not_depend_on_flushes(spark, monkeypatch):
@@ -371,3 +425,39 @@ def test_smallest_hashes_do_not_depend_on_flushes(spark, monkeypatch):
     monkeypatch.setattr(language_id, "HELD_HASHES", 7)
     parts = language_id.train(frame, 20)
     assert (whole["centroids"] == parts["centroids"]).all() and (whole["radius"] == parts["radius"]).all()
+
+
+def test_many_rows_of_one_id_and_text_go_as_one(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "COPIES", 5)
+    rng = np.random.default_rng(12)
+    words = [f"v{i}" for i in range(400)]
+    passage = " ".join(rng.choice(words, 30))
+    rows = [(i, f"{' '.join(rng.choice(words, 20))} {passage} tail{i}", i) for i in range(20)]
+    rows += [(7, rows[3][1], 100 + i) for i in range(30)] + [(None, rows[4][1], 200 + i) for i in range(9)] + [(2, None, 300 + i) for i in range(8)]
+    docs = spark.createDataFrame([(*r, "t") for r in rows], "doc_id long, text string, key int, _text string").repartition(4)
+    got = substring_dedup.remove_repeats(docs).select("row.key", "kept", "n_removed", "row._text").collect()
+    monkeypatch.setattr(substring_dedup, "COPIES", 1000)
+    want = substring_dedup.remove_repeats(docs).select("row.key", "kept", "n_removed", "row._text").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == len(rows)
+    assert any(r.n_removed for r in got if r.key >= 200) and all(r._text == "t" for r in got)
+
+
+def test_anchor_with_very_many_records_is_lengthened():
+    """Counts of an anchor's records are exact, however many one chunk has."""
+    import pyarrow as pa
+
+    same = " ".join(f"a{i}" for i in range(13))
+    docs = pa.table({"chunk": pa.array([0] * 700, pa.int32()), "doc_id": list(range(700)),
+                     "text": pa.array([f"{same} t{i} u{i}".encode() for i in range(700)])})
+    sent = substring_dedup._scan(13, 6, 0)(docs)
+    assert np.frombuffer(b"".join(sent.column("records").to_pylist()), "<u4").max() >= 300
+    code = substring_dedup._decide(600)(pa.concat_tables([sent, sent]))
+    assert substring_dedup.LONG in b"".join(code.column("data").to_pylist())
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        substring_dedup.remove_repeats(docs)
+    with pytest.raises(TypeError):
+        packing.pack(docs, lambda: lambda t: b"", 1)
