@@ -17,14 +17,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askgrid.llm.rows import keep_rows, parts_for, written
+from askgrid.operators.sizing import broadcast_if_small
 
 BLOCK_BYTES = 65536
 PART_BYTES = 24 << 20
-SALTS = 64
+SALTS = 64  # at least; a block that very many rows hold may go to all partitions
 
 
 class NameClash(RuntimeError):
@@ -81,44 +83,35 @@ def name_sorted(df: DataFrame, keep: list[str], parts: int, block: str | None =
     ``a`` and ``b`` are longs and decide alone unless ``block`` is given; they then are hashes
     that set the order, and the block itself is compared. Returns keep + name, written out.
     """
-    spark = df.sparkSession
     kinds = {f.name: f.dataType for f in df.schema.fields}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in (*keep, "a", "b")] + [
         T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType()),
         T.StructField("first", T.BooleanType()), T.StructField("edge", T.BinaryType())])
     columns = [*keep, "a", "b", *(["block"] if block else [])]
-    salt = F.pmod(F.xxhash64(*keep), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64(*keep), F.lit(max(SALTS, parts)))
     ranged = df.select(*columns, salt.alias("salt")).repartitionByRange(parts, "a", "b", "salt")
     order = ["a", "b", *(["block"] if block else [])]
     ranked = written(ranged.sortWithinPartitions(*order).select(*columns).mapInArrow(
         _rank_sorted(keep, bool(block)), schema), "names")
-    # One line of integers per partition reaches the driver; the edge blocks do not.
-    edges = ranked.filter("edge is not null").groupBy("part").agg(
+    # A row per partition; its edge blocks are compared with those of the one before by a join.
+    edges = written(ranked.filter("edge is not null").groupBy("part").agg(
         F.max("rank").alias("last_rank"),
         F.max(F.when(F.col("first"), F.struct("a", "b", "edge"))).alias("low"),
-        F.max(F.struct("rank", F.struct("a", "b", "edge").alias("v"))).alias("high"))
-    parts_seen = sorted((r[0], r[1]) for r in edges.select("part", "last_rank").collect())
-    if not parts_seen:
-        return ranked.select(*keep, F.lit(0).cast("long").alias("name"))
-    before = {p: q for (p, _), (q, _) in zip(parts_seen[1:], parts_seen)}
-    same = {}
-    if before:
-        pairs = spark.createDataFrame(list(before.items()), "part int, prev int")
-        one, two = edges.select("part", "low"), edges.select(F.col("part").alias("prev"), F.col("high.v").alias("high"))
-        met = pairs.join(one, "part").join(two, "prev").select(
-            "part", ((F.col("low.a") == F.col("high.a")) & (F.col("low.b") == F.col("high.b"))).alias("keys"),
-            (F.col("low.edge") == F.col("high.edge")).alias("blocks"))
-        for part, keys, blocks in met.collect():
-            if keys and not blocks:
-                raise NameClash(f"partition {part}")
-            same[part] = keys and blocks
-    shifts, total = [], 0
-    for part, last_rank in parts_seen:
-        total -= bool(same.get(part))
-        shifts.append((part, total))
-        total += last_rank + 1
-    offsets = F.broadcast(spark.createDataFrame(shifts, "part int, shift long"))  # a row per partition
-    return ranked.join(offsets, "part").select(*keep, (F.col("rank") + F.col("shift")).alias("name"))
+        F.max(F.struct("rank", F.struct("a", "b", "edge").alias("v"))).alias("high")), "edges")
+    order = W.orderBy("part")  # over integers alone
+    line = edges.select("part", "last_rank").withColumn("prev", F.lag("part").over(order))
+    one, two = edges.select("part", "low"), edges.select(F.col("part").alias("prev"), F.col("high.v").alias("high"))
+    met = written(line.join(one, "part").join(two, "prev", "left").select(
+        "part", "last_rank", F.coalesce((F.col("low.a") == F.col("high.a")) & (F.col("low.b") == F.col("high.b")), F.lit(False)).alias("keys"),
+        F.coalesce(F.col("low.edge") == F.col("high.edge"), F.lit(False)).alias("blocks")), "met")
+    clash = met.filter("keys and not blocks").select("part").first()
+    if clash is not None:
+        raise NameClash(f"partition {clash.part}")
+    # partitions that meet inside one block share its name
+    shifts = met.select("part", (
+        F.coalesce(F.sum(F.col("last_rank") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        - F.sum(F.col("keys").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0))).alias("shift"))
+    return ranked.join(broadcast_if_small(written(shifts, "shifts")), "part").select(*keep, (F.col("rank") + F.col("shift")).alias("name"))
 
 
 def _cut(docs: DataFrame, block_bytes: int, seed: int) -> DataFrame:
