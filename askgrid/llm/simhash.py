@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.graph import components
 from askgrid.llm.rows import keep_rows, text_bytes, written
+from askgrid.operators.components import components
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -225,8 +225,9 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     roots = components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
     rooted = written(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    labelled = rooted.join(lows, "root").select("fp", "component_id", "root")
+    # a written side lets the joins split a root or a fingerprint that very many rows have
+    lows = written(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    labelled = written(rooted.join(lows, "root").select("fp", "component_id", "root"), "labels")
     return marked.join(labelled, "fp").select("doc_id", "sha", "fp", "component_id", "root")
 
 
