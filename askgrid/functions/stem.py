@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askgrid.session import cut_lineage
+
 # Suffix rules (suffix, replacement) of steps 2, 3 and 4 of the paper.
 STEP2 = (
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
@@ -70,7 +72,11 @@ def _replace_suffix(df: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFr
 
 def stem_table(terms: DataFrame) -> DataFrame:
     """(term, stem) of a table of lower-case terms; words of one or two letters and null stay as they
-    are. Built-in functions only."""
+    are. Built-in functions only.
+
+    The result is stored: a condition on the stem would else be moved in front of the steps, where each
+    step repeats it several times over.
+    """
     w, s, x = F.col("w"), F.col("s"), F.col("x")
     df = terms.select("term", F.col("term").alias("w")).withColumn("s", shape(w))
     # 1a: plurals
@@ -100,4 +106,4 @@ def stem_table(terms: DataFrame) -> DataFrame:
     drops = w.endswith("e") & ((m > 1) | ((m == 1) & ~_ends_cvc(_cut(w, 1), _cut(s, 1))))
     df = _step(df, F.when(drops, _cut(w, 1)).otherwise(w), F.when(drops, _cut(s, 1)).otherwise(s))
     stem = F.when(w.endswith("ll") & (_measure(s) > 1), _cut(w, 1)).otherwise(w)
-    return df.select("term", F.when(F.length("term") <= 2, F.col("term")).otherwise(stem).alias("stem"))
+    return cut_lineage(df.select("term", F.when(F.length("term") <= 2, F.col("term")).otherwise(stem).alias("stem")))

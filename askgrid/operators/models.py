@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askgrid.functions.stem import stem_table
 from askgrid.functions.text import ENGLISH_STOP_WORDS
 from askgrid.operators.lexical import LexicalIndex, document_frequencies, idf, query_terms
 from askgrid.operators.sizing import broadcast_if_small, top_per_group
@@ -63,6 +64,29 @@ def score_with(df: DataFrame, factory: ScoreFactory, query: str = "question", te
     return df.withColumn(out, score(F.col(query), F.col(text)))
 
 
+def score_or_error(df: DataFrame, factory: ScoreFactory, query: str = "question", text: str = "text",
+                   batch_size: int = BATCH_SIZE) -> DataFrame:
+    """As score_with, where a pair the model fails on gets no score and the message as ``score_err``.
+    A batch that fails is scored pair by pair, so one pair costs only itself its score."""
+    kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("score_err", T.StringType())])
+
+    @F.pandas_udf(kind)
+    def score(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        def run(model, q, t):
+            try:
+                return [(float(s), None) for s in model(q, t)]
+            except Exception as e:  # any failure of the model is an outcome, not the end of the job
+                return [(None, f"{e}")] if len(q) == 1 else [run(model, [a], [b])[0] for a, b in zip(q, t)]
+
+        model = factory()
+        for queries, texts in columns:
+            q, t = queries.tolist(), texts.tolist()
+            rows = [r for i in range(0, len(t), batch_size) for r in run(model, q[i:i + batch_size], t[i:i + batch_size])]
+            yield pd.DataFrame(rows, columns=["score", "score_err"])
+
+    return df.withColumn("_scored", score(F.col(query), F.col(text))).select("*", "_scored.*").drop("_scored")
+
+
 def infer_with(df: DataFrame, factory: InferFactory, prompt: str = "prompt", out: str = "raw",
                batch_size: int = BATCH_SIZE) -> DataFrame:
     """Add model replies to a prompt column."""
@@ -84,9 +108,13 @@ def keyword_subqueries(index: LexicalIndex, questions: DataFrame, n: int | None
     commas: (question_idx, subquery). Terms the corpus does not hold are left out."""
     terms = cut_lineage(query_terms(
         questions.select(F.col("question_idx").alias("query_id"), F.col("question").alias("text")), stop_words))
-    vocabulary = broadcast_if_small(terms.select("term").distinct())
-    frequency = document_frequencies(index.terms.join(vocabulary, "term", "left_semi"))
-    weighted = terms.join(frequency, "term").withColumn("w", F.round(idf(F.col("df"), index.n_nodes), 6))
+    # looked up as the index holds them, shown as the question has them
+    vocabulary = terms.select("term").distinct()
+    vocabulary = stem_table(vocabulary) if index.stemmed else vocabulary.withColumn("stem", F.col("term"))
+    terms = cut_lineage(terms.join(broadcast_if_small(vocabulary), "term"))
+    wanted = broadcast_if_small(terms.select(F.col("stem").alias("term")).distinct())
+    frequency = document_frequencies(index.terms.join(wanted, "term", "left_semi")).withColumnRenamed("term", "stem")
+    weighted = terms.join(frequency, "stem").withColumn("w", F.round(idf(F.col("df"), index.n_nodes), 6))
     if n is not None:
         weighted = top_per_group(weighted, ["query_id"], [F.col("w").desc(), F.col("term")], n)
     return (

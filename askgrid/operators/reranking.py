@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from askgrid.functions.text import ENGLISH_STOP_WORDS, tokenize_terms
+from askgrid.operators.lexical import stems_of
 from askgrid.operators.sizing import broadcast_if_small, top_per_group
 from askgrid.session import cut_lineage
 
@@ -18,18 +19,17 @@ TOP_K_RETRIEVAL = 20
 TOP_K_RERANK = 5
 
 
-def question_vectors(questions: DataFrame, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+def question_vectors(questions: DataFrame, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, stemmed: bool = False) -> DataFrame:
     """Term counts of the questions with their length: (question_idx, term, qtf, qnorm)."""
-    counts = (
-        questions.select("question_idx", F.explode(tokenize_terms("question", stop_words)).alias("term"))
-        .groupBy("question_idx", "term").agg(F.count("*").alias("qtf"))
-    )
+    terms = questions.select("question_idx", F.explode(tokenize_terms("question", stop_words)).alias("term"))
+    terms = stems_of(terms, ["question_idx"]) if stemmed else terms
+    counts = terms.groupBy("question_idx", "term").agg(F.count("*").alias("qtf"))
     norms = counts.groupBy("question_idx").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
     return counts.join(norms, "question_idx")
 
 
 def cosine_scores(pairs: DataFrame, questions: DataFrame, postings: DataFrame,
-                  stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+                  stop_words: Iterable[str] = ENGLISH_STOP_WORDS, stemmed: bool = False) -> DataFrame:
     """Default scorer: cosine of the term counts of question and context, added to pairs
     (question_idx, node_id, ..) as ``score``. Counts come from the term table, of which
     only the rows of the candidate nodes are read on; 0 where no term is shared."""
@@ -37,7 +37,7 @@ def cosine_scores(pairs: DataFrame, questions: DataFrame, postings: DataFrame,
     nodes = broadcast_if_small(wanted.select("node_id").distinct())
     terms = cut_lineage(postings.join(nodes, "node_id", "left_semi").select("node_id", "term", "tf"))
     norms = terms.groupBy("node_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dnorm"))
-    asked = wanted.join(question_vectors(questions, stop_words), "question_idx")
+    asked = wanted.join(question_vectors(questions, stop_words, stemmed), "question_idx")
     scores = (
         asked.join(terms, ["node_id", "term"])
         .groupBy("question_idx", "node_id")

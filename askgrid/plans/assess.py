@@ -11,7 +11,7 @@ from askgrid.operators.reranking import contexts_per_question
 from askgrid.operators.selection import question_ids, route_outcome, saved_rows, select_context
 from askgrid.plans.expand import expand_questions, model_replies
 from askgrid.plans.index import RetrievalIndex
-from askgrid.plans.retrieve import retrieve_contexts
+from askgrid.plans.retrieve import retrieve_or_fail
 from askgrid.session import cut_lineage
 from askgrid.sources.responses import append_responses
 
@@ -36,19 +36,21 @@ def assess_questionnaire(index: RetrievalIndex, questions: DataFrame, expansions
     Expansions and answers are model replies (question_idx, raw), or the models that give them:
     the answer prompt then holds the context that was selected. Selections are choices
     (question_idx, choice). Every question leads to one outcome; an interrupt ends the run.
-    Only questions whose expansion can be read are retrieved.
+    Only questions whose expansion can be read are retrieved; one the scoring model (``score``) fails
+    on is stored with that error.
     """
     if callable(expansions):
         expansions = cut_lineage(model_replies(questions, expansions))
     subqueries, status = expand_questions(questions, expansions)
     expanded = questions.join(status.filter("expand_err is null").select("question_idx"), "question_idx", "left_semi")
-    contexts = contexts_per_question(retrieve_contexts(index, expanded, subqueries, score=score))
+    best, failed = retrieve_or_fail(index, expanded, subqueries, score=score)
+    contexts = contexts_per_question(best)
     staged = (
         questions.join(status, "question_idx", "left").join(contexts, "question_idx", "left")
         .join(selections, "question_idx", "left")
         .withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
         .withColumn("n_left", F.size("contexts"))
-        .withColumn("rerank_err", F.lit(None).cast("string"))
+        .join(failed, "question_idx", "left")
     )
     selected = select_context(staged)
     if callable(answers):

@@ -34,7 +34,7 @@ class RetrievalIndex:
         """Vectors of queries (query_id, text), made like those of the nodes."""
         if self.embed is not None:
             return embed_with(queries.select("query_id", "text"), self.embed).drop("text")
-        terms = term_postings(queries.withColumnRenamed("query_id", "node_id"), self.stop_words)
+        terms = term_postings(queries.withColumnRenamed("query_id", "node_id"), self.stop_words, stemmed=self.lexical.stemmed)
         return hashed_vectors(terms).withColumnRenamed("node_id", "query_id")
 
     def unpersist(self) -> None:
@@ -43,10 +43,12 @@ class RetrievalIndex:
 
 
 def build_index(docs: DataFrame, sizes: Sequence[int] = (PARENT_SIZE, CHILD_SIZE), overlap: int = OVERLAP,
-                stop_words: Iterable[str] = ENGLISH_STOP_WORDS, embed: EmbedFactory | None = None) -> RetrievalIndex:
+                stop_words: Iterable[str] = ENGLISH_STOP_WORDS, embed: EmbedFactory | None = None,
+                stemmed: bool = False) -> RetrievalIndex:
     """Chunk documents (doc_id, text) and index the nodes: one pass over the documents, one
     shuffle of node texts; the vectors are made from the term table where it lies, or by a model
-    (``embed``) from the texts of the leaves.
+    (``embed``) from the texts of the leaves. ``stemmed`` indexes English stems in place of terms; all
+    plans over the index then match by stems.
 
     Nodes are written as a table in the shared folder, from which each step reads only the
     columns it needs. The term table and the vectors are cached, as that keeps their
@@ -57,7 +59,7 @@ def build_index(docs: DataFrame, sizes: Sequence[int] = (PARENT_SIZE, CHILD_SIZE
     path = scratch_path(spark, "nodes")
     chunk_hierarchical(spread(docs.select("doc_id", "text")), sizes, overlap).write.parquet(path)
     nodes = spark.read.parquet(path)
-    lexical = build_lexical_index(nodes, words, keep=TREE)
+    lexical = build_lexical_index(nodes, words, TREE, stemmed)
     leaves = lexical.postings.filter(F.col("level") == len(sizes) - 1)
     if embed is None:
         vectors = hashed_vectors(leaves, keep=("parent_id", "n_siblings"))
@@ -78,9 +80,9 @@ def save_index(index: RetrievalIndex, path: str, buckets: int = 200) -> None:
     (index.lexical.postings.repartition(buckets, "node_id").write.bucketBy(buckets, "node_id")
         .option("path", os.path.join(path, "postings")).saveAsTable(table))
     spark.sql(f"DROP TABLE {table}")  # the files stay where they are
-    facts = [(index.lexical.n_nodes, float(index.lexical.avg_len), list(index.stop_words), buckets)]
+    facts = [(index.lexical.n_nodes, float(index.lexical.avg_len), list(index.stop_words), buckets, index.lexical.stemmed)]
     spark.createDataFrame(
-        facts, "n_nodes long, avg_len double, stop_words array<string>, buckets int"
+        facts, "n_nodes long, avg_len double, stop_words array<string>, buckets int, stemmed boolean"
     ).coalesce(1).write.parquet(os.path.join(path, "facts"))
 
 
@@ -95,7 +97,7 @@ def load_index(spark: SparkSession, path: str, embed: EmbedFactory | None = None
         f"CREATE TABLE {table} ({columns}) USING parquet "
         f"CLUSTERED BY (node_id) INTO {facts.buckets} BUCKETS LOCATION '{place}'"
     )
-    lexical = LexicalIndex(spark.table(table), facts.n_nodes, facts.avg_len, spark.read.parquet(os.path.join(path, "terms")))
+    lexical = LexicalIndex(spark.table(table), facts.n_nodes, facts.avg_len, spark.read.parquet(os.path.join(path, "terms")), facts.stemmed)
     return RetrievalIndex(
         spark.read.parquet(os.path.join(path, "nodes")), lexical,
         spark.read.parquet(os.path.join(path, "vectors")), tuple(facts.stop_words), embed,

@@ -9,7 +9,7 @@ from askgrid.operators.candidates import hybrid_union, join_docstore, query_tabl
 from askgrid.operators.dedup import THRESHOLD, greedy_dedup
 from askgrid.operators.dense import knn_l2
 from askgrid.operators.lexical import TOP_K, bm25_topk
-from askgrid.operators.models import ScoreFactory, score_with
+from askgrid.operators.models import ScoreFactory, score_or_error, score_with
 from askgrid.operators.sizing import broadcast_if_small
 from askgrid.operators.merging import MERGE_RATIO, auto_merge
 from askgrid.operators.reranking import CONTEXTS_KEPT, cosine_scores, rerank_topn
@@ -54,14 +54,38 @@ def rank_contexts(index: RetrievalIndex, questions: DataFrame, marked: DataFrame
     the cosine of term counts."""
     pairs = marked.filter("kept").select("question_idx", "ord", "node_id")
     if score is None:
-        scored = cosine_scores(pairs, questions, index.lexical.postings, index.stop_words)
+        scored = cosine_scores(pairs, questions, index.lexical.postings, index.stop_words, index.lexical.stemmed)
     else:
-        asked = join_docstore(pairs, texts).join(broadcast_if_small(questions.select("question_idx", "question")), "question_idx")
-        scored = score_with(asked, score).select("question_idx", "ord", "node_id", "score")
+        scored = score_with(_asked(pairs, questions, texts), score).select("question_idx", "ord", "node_id", "score")
+    return _top(scored, texts, top)
+
+
+def _asked(pairs: DataFrame, questions: DataFrame, texts: DataFrame) -> DataFrame:
+    return join_docstore(pairs, texts).join(broadcast_if_small(questions.select("question_idx", "question")), "question_idx")
+
+
+def _top(scored: DataFrame, texts: DataFrame, top: int | None) -> DataFrame:
     ranked = rerank_topn(scored, ["question_idx"], top, idx="ord")
     return join_docstore(cut_lineage(ranked.select("question_idx", "rank", "node_id", "score")), texts)
 
 
+def retrieve_or_fail(index: RetrievalIndex, questions: DataFrame, subqueries: DataFrame | None = None,
+                     top: int | None = CONTEXTS_KEPT, score: ScoreFactory | None = None) -> tuple[DataFrame, DataFrame]:
+    """As retrieve_contexts, and the questions (question_idx, rerank_err) the scoring model failed on,
+    which have no contexts."""
+    candidates = candidate_lists(index, questions, subqueries)
+    texts = candidate_texts(index, candidates)
+    marked = dedup_candidates(candidates, texts)
+    if score is None:
+        none = questions.select("question_idx", F.lit(None).cast("string").alias("rerank_err")).filter(F.lit(False))
+        return rank_contexts(index, questions, marked, texts, top), none
+    pairs = marked.filter("kept").select("question_idx", "ord", "node_id")
+    scored = cut_lineage(score_or_error(_asked(pairs, questions, texts), score).select("question_idx", "ord", "node_id", "score", "score_err"))
+    failed = cut_lineage(scored.filter("score_err is not null").groupBy("question_idx").agg(
+        F.min_by("score_err", "ord").alias("rerank_err")))
+    return _top(scored.join(failed, "question_idx", "left_anti").drop("score_err"), texts, top), failed
+
+
 def retrieve_contexts(index: RetrievalIndex, questions: DataFrame, subqueries: DataFrame | None = None,
                       top: int | None = CONTEXTS_KEPT, score: ScoreFactory | None = None) -> DataFrame:
     """Questions (question_idx, question) with sub-queries (question_idx, subquery_no, subquery)

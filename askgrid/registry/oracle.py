@@ -57,12 +57,14 @@ def postings(name: str, source: str, keep: str = "") -> str:
   GROUP BY ALL)"""
 
 
-def bm25(name: str, index: str, corpus: str, queries: str, k: int) -> str:
-    """Ranking ``name`` of queries over the term table ``index`` of the corpus."""
+def bm25(name: str, index: str, corpus: str, queries: str, k: int, stems: str = "") -> str:
+    """Ranking ``name`` of queries over the term table ``index`` of the corpus, its terms being
+    those of the table ``stems`` where one is named."""
+    term, join = ("stem AS term", f"JOIN {stems} USING (term)") if stems else ("term", "")
     return f"""
 {name}_size AS (SELECT (SELECT count(*) FROM ({corpus})) AS n, (SELECT sum(tf) FROM {index}) AS total),
 {name}_terms AS MATERIALIZED (
-  SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({terms('text')}) AS term FROM ({queries}))),
+  SELECT DISTINCT query_id, {term} FROM (SELECT query_id, unnest({terms('text')}) AS term FROM ({queries})) {join}),
 {name}_df AS MATERIALIZED (SELECT term, count(*) AS df FROM {index} GROUP BY term),
 {name}_scores AS (
   SELECT query_id, node_id, round(sum(
@@ -399,6 +401,20 @@ def porter(name: str, source: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "bm25_stemmed": with_(
+        DOC_INDEX, porter("stems", f"SELECT term FROM doc_postings UNION SELECT unnest({terms('text')}) FROM benchmark"),
+        """stem_postings AS MATERIALIZED (
+             SELECT node_id, dl, stem AS term, sum(tf) AS tf FROM doc_postings JOIN stems USING (term) GROUP BY ALL)""",
+        bm25("hits", "stem_postings", DOCS, QUESTIONS, 15, "stems")) + "SELECT query_id, node_id, score, rank FROM hits",
+    "udf_embed_model": """
+ SELECT doc_id AS node_id, CAST(b AS INT) AS bucket, CAST(len(list_filter(codes, lambda c: c % 16 = b)) AS FLOAT) AS x
+ FROM (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN c = '' THEN -1 ELSE unicode(c) END) AS codes
+       FROM documents), range(16) AS r(b)""",
+    "answer_questions_model": """
+ SELECT item_id AS question_idx, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 2 = 0 THEN 'Si' ELSE 'No' END AS response,
+        CASE WHEN n % 5 = 0 THEN NULL ELSE 'length ' || n END AS justification, n % 5 = 0 AS failed
+ FROM (SELECT item_id, length('Query: ' || b.text || chr(10) || ' Context: ' || d.source) AS n
+       FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)""",
     "udf_stem": with_(DOC_INDEX, porter("stems", "SELECT DISTINCT term FROM doc_postings")) + "SELECT term, stem FROM stems",
     "src_markdown": "SELECT text || chr(10) AS text, length(text) + 1 AS n_chars FROM benchmark",
     "src_page_assembly": PAGED,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,12 @@ class Tables:
         docs = self.documents.select(F.col("doc_id").alias("node_id"), "text")
         return self._once("lexical", lambda: lexical.build_lexical_index(docs))
 
+    @property
+    def stems(self) -> lexical.LexicalIndex:
+        """As lexical, of stems."""
+        docs = self.documents.select(F.col("doc_id").alias("node_id"), "text")
+        return self._once("stems", lambda: lexical.build_lexical_index(docs, stemmed=True))
+
     @property
     def index(self) -> index.RetrievalIndex:
         """Index of the chunks of all documents."""
@@ -409,6 +417,12 @@ def bm25_topk(t: Tables) -> DataFrame:
     return lexical.bm25_topk(t.lexical, t.queries)
 
 
+@query
+def bm25_stemmed(t: Tables) -> DataFrame:
+    """BM25 by English stems on both sides."""
+    return lexical.bm25_topk(t.stems, t.queries)
+
+
 def _dense_hits(t: Tables) -> DataFrame:
     return dense.knn_l2(
         t.index.vectors, t.index.query_vectors(t.queries), carry=("parent_id", "n_siblings"))
@@ -707,6 +721,19 @@ def udf_embed(t: Tables) -> DataFrame:
         "node_id", F.col("e.at").alias("bucket"), F.round("e.x", 6).alias("x"))
 
 
+@query
+def udf_embed_model(t: Tables) -> DataFrame:
+    """The model slot for vectors, with a model that counts signs by their code."""
+    def by_code():
+        def vectors(texts):
+            counts = [np.bincount(np.frombuffer(x.encode("utf-32-le"), "<u4") % 16, minlength=16) for x in texts]
+            return [c.tolist() for c in counts]
+        return vectors
+
+    docs = t.documents.select(F.col("doc_id").alias("node_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return models.embed_with(docs, by_code).select("node_id", F.posexplode("vector").alias("bucket", "x"))
+
+
 @query
 def udf_score_pair(t: Tables) -> DataFrame:
     def shared_words():
@@ -763,6 +790,22 @@ def answer_questions(t: Tables) -> DataFrame:
     return answered.drop("raw")
 
 
+@query
+def answer_questions_model(t: Tables) -> DataFrame:
+    """Prompts of questions with a context go to the model slot; replies are read by their contract."""
+    def by_length():
+        def reply(prompt):
+            n = len(json.loads(prompt)[1]["content"])
+            good = json.dumps({"response": "Si" if n % 2 == 0 else "No", "justification": f"length {n}"})
+            return "no answer" if n % 5 == 0 else good
+        return lambda prompts: [reply(p) for p in prompts]
+
+    chosen = t.questions.join(
+        t.documents.select(F.col("doc_id").alias("question_idx"), F.col("source").alias("selected")), "question_idx")
+    answered = assess.answer_questions(chosen, assess.answer_replies(chosen, by_length))
+    return answered.select("question_idx", "response", "justification", F.col("answer_err").isNotNull().alias("failed"))
+
+
 @query
 def retrieve_contexts(t: Tables) -> DataFrame:
     return retrieve.retrieve_contexts(t.index, t.questions, t.subqueries).select(

@@ -54,6 +54,46 @@ def test_assessment_end_to_end(spark, tmp_path):
     ix.unpersist()
 
 
+def test_stems_run_through_all_plans(spark, tmp_path):
+    """Another form of a word finds the text in BM25, vectors and scores, in a saved index too."""
+    docs, _ = setup(spark)
+    questions = spark.createDataFrame([(0, "rotation of hashing passwords yearly"), (1, "encryption backup"), (2, "reviewing an incident")],
+                                      "question_idx long, question string")
+    ix = index.build_index(docs, (300, 40), 5, stemmed=True)
+    assert {"password", "rotat", "review"} <= {r.term for r in ix.lexical.terms.select("term").collect()}
+    index.save_index(ix, str(tmp_path / "ix"), buckets=4)
+    for one in (ix, index.load_index(spark, str(tmp_path / "ix"))):
+        assert one.lexical.stemmed
+        got = retrieve.retrieve_contexts(one, questions).filter("rank = 1").collect()
+        assert {r.question_idx: r.node_id.split("/")[0] for r in got} == {0: "1", 1: "3", 2: "4"} and all(r.score > 0 for r in got)
+        words = {r.question_idx: set(r.subquery.split(", ")) for r in expand.keyword_subqueries(one.lexical, questions).collect()}
+        assert words[1] == {"encryption", "backup"}
+    found = rag.rag_answer(ix.lexical, ix.nodes, questions).collect()
+    assert all(r.reranked for r in found)
+    ix.unpersist()
+
+
+def test_a_scorer_that_fails_is_an_outcome_of_its_question(spark):
+    docs, questions = setup(spark)
+    ix = index.build_index(docs, (300, 40), 5)
+
+    def breaks():
+        def score(queries, texts):
+            if any("backups" in q for q in queries):
+                raise ValueError("scorer out of memory")
+            return [float(len(t)) for t in texts]
+        return score
+
+    expansions = questions.select("question_idx", F.lit('{"sotto_query": []}').alias("raw"))
+    choices = questions.select("question_idx", F.lit("1").alias("choice"))
+    answers = questions.select("question_idx", F.lit('{"response": "Si", "justification": "j"}').alias("raw"))
+    rows = assess.assess_questionnaire(ix, questions, expansions, choices, answers, score=breaks)
+    got = {r.question_idx: (r.answer, r.justification) for r in rows.collect()}
+    assert got[1] == ("Error: Reranking failed", "scorer out of memory")
+    assert got[0] == got[3] == got[4] == ("Si", "j") and got[2][0] == "Error: Reranking failed"
+    ix.unpersist()
+
+
 def test_models_in_the_slots(spark):
     _, questions = setup(spark)
 
