@@ -19,15 +19,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from askgrid.llm.rows import written
-from askgrid.operators.sizing import broadcast_if_small
+from askgrid.operators.sizing import broadcast_if_small, number_rows, top_per_group
 
 BUCKETS = 8192
 SAMPLE_PER_LANGUAGE = 512  # distinct training texts k-means sees of one language, at most
-MAX_LANGUAGES = 256  # the languages with most training texts are learned
+LANGUAGES_AT_ONCE = 256  # languages whose centroids a task holds; more are scored block after block
+SPREAD = 64  # parts the sampled hashes of a language are ranked in before they meet
 CENTROIDS = 3
 ROUNDS = 12
 MARGIN = 1.25
@@ -148,10 +148,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.
     return c, np.argmax(x @ c.T, 1)
 
 
-def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS,
-          max_languages: int = MAX_LANGUAGES) -> dict:
-    """Fit on rows (text, lang), nulls left out. Returns idf, and arrays of centroids, their
-    languages and radii; their size depends on the parameters, not on the rows."""
+def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> tuple[np.ndarray, DataFrame]:
+    """Fit on rows (text, lang), nulls left out. Returns idf, and a stored table of the centroids of
+    every language (lang, j, c, radius)."""
     rows = rows.filter("text is not null and lang is not null").select("text", "lang")
     hashed = rows.select("text", "lang", F.xxhash64("text").alias("h"))
     passed = written(hashed.mapInArrow(_frequencies(sample_per_language), "bucket int, n long, lang string, h long"), "frequencies")
@@ -161,16 +160,11 @@ def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centr
         df[b] = n
     total = df[BUCKETS]
     idf = np.log((1 + total) / (1 + df[:BUCKETS])) + 1
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    empty = {"idf": idf, "centroids": np.zeros((0, BUCKETS), np.float32), "langs": [], "radius": np.zeros(0)}
-    if not langs:
-        return empty
     # The smallest hashes of each language. Those of copies are equal and count once; at most the
-    # wanted number of each language leaves a partition.
-    learned = rows.sparkSession.createDataFrame([(r[0],) for r in langs], "lang string")
-    distinct = passed.filter("bucket is null").join(F.broadcast(learned), "lang").select("lang", "h").distinct()
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    picked = written(distinct.withColumn("place", place).filter(F.col("place") <= sample_per_language).select("lang", "h"), "picked")
+    # wanted number of each language leaves a partition, and then each of its parts.
+    distinct = passed.filter("bucket is null").select("lang", "h").distinct().withColumn("part", F.pmod(F.xxhash64("h"), F.lit(SPREAD)))
+    few = top_per_group(distinct, ["lang", "part"], [F.col("h")], sample_per_language, "place").drop("place")
+    picked = written(top_per_group(few, ["lang"], [F.col("h")], sample_per_language, "place").select("lang", "h"), "picked")
     drawn = hashed.join(broadcast_if_small(picked), ["lang", "h"]).select("lang", "h", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,40 +197,68 @@ def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centr
         return pd.DataFrame({"lang": group["lang"].iloc[0], "j": range(len(c)), "c": [v.tolist() for v in c],
                              "radius": [float(far[place == j].max(initial=0)) for j in range(len(c))]})
 
-    fitted = sample.groupBy("lang").applyInPandas(fit, "lang string, j int, c array<float>, radius double").collect()
-    if not fitted:
-        return empty
-    fitted.sort(key=lambda r: (r[0], r[1]))
-    return {"idf": idf, "centroids": np.array([r[2] for r in fitted], np.float32), "langs": [r[0] for r in fitted],
-            "radius": np.array([r[3] for r in fitted])}
+    return idf, written(sample.groupBy("lang").applyInPandas(fit, "lang string, j int, c array<float>, radius double"), "centroids")
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred, score, rejected for every row of ``docs`` (doc_id, text; no other
-    column is read). ``und`` with score 0 if the text is null, empty or has no letter, or if
-    nothing was learned. ``rejected``: farther from its centroid than MARGIN times the farthest
-    training text. Ties go to the language first in the alphabet."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _nearest(idf: np.ndarray, rows: list):
+    """Rows with the nearest of some centroids: cosine, language, radius; null without a letter."""
+    table = np.array([r.c for r in rows], np.float32).reshape(len(rows), BUCKETS)
+    langs, radius = [r.lang for r in rows], [r.radius for r in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            pred, score, far = [], [], []
-            for text in batch.column(1).to_pylist():
-                counts = gram_counts(text) if text and m["langs"] else None
+            best: list[tuple] = []
+            for text in batch.column("text").to_pylist():
+                counts = gram_counts(text) if text and langs else None
                 if counts is None:
-                    pred.append(UNKNOWN), score.append(0.0), far.append(True)
+                    best.append((None, None, None))
                     continue
-                cos = m["centroids"] @ _vector(counts, m["idf"])
+                cos = table @ _vector(counts, idf)
                 j = int(np.argmax(cos))
-                s = float(min(1.0, max(0.0, cos[j])))
-                pred.append(m["langs"][j]), score.append(s), far.append(1 - s > MARGIN * m["radius"][j])
+                best.append((float(min(1.0, max(0.0, cos[j]))), langs[j], radius[j]))
+            score, lang, far = zip(*best) if best else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())],
-                ["doc_id", "lang_pred", "score", "rejected"])
+                [*[batch.column(c) for c in ("doc_id", "row_id")], pa.array(score, pa.float64()), pa.array(lang, pa.string()), pa.array(far, pa.float64())],
+                ["doc_id", "row_id", "score", "lang", "radius"])
+
+    return run
+
 
+def predict(docs: DataFrame, idf: np.ndarray, centroids: DataFrame, at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
+    """doc_id, lang_pred, score, rejected for every row of ``docs`` (doc_id, text; no other
+    column is read). ``und`` with score 0 if the text is null, empty or has no letter, or if
+    nothing was learned. ``rejected``: farther from its centroid than MARGIN times the farthest
+    training text. Ties go to the language first in the alphabet.
+
+    Tasks get the centroids of ``at_once`` languages; where there are more, each block of languages is
+    scored by itself and a row takes the best of its blocks.
+    """
+    names = centroids.select("lang").distinct()
+    n = names.count()
+    docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    schema = f"doc_id {kind}, row_id long, score double, lang string, radius double"
+    if n <= at_once:
+        rows = centroids.orderBy("lang", "j").collect()  # bounded by at_once
+        best = docs.withColumn("row_id", F.lit(0).cast("long")).mapInArrow(_nearest(idf, rows), schema)
+    else:
+        numbered = written(number_rows(names, "lang", "no"), "languages")
+        blocks = written(centroids.join(broadcast_if_small(numbered), "lang"), "blocks")
+        stored = written(docs.withColumn("row_id", F.monotonically_increasing_id()), "texts")
+        each = []
+        for first in range(0, n, at_once):
+            rows = blocks.filter(F.col("no").between(first, first + at_once - 1)).orderBy("lang", "j").collect()
+            each.append(written(stored.mapInArrow(_nearest(idf, rows), schema), "scored"))
+        every = each[0]
+        for more in each[1:]:
+            every = every.unionByName(more)
+        # equal scores: the first language; null scores are those of every block
+        order = F.struct((-F.col("score")).alias("s"), "lang", "radius")
+        best = every.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.min(F.when(F.col("score").isNotNull(), order)).alias("b")).select(
+            "doc_id", "row_id", (-F.col("b.s")).alias("score"), "b.lang", "b.radius")
+    return best.select(
+        "doc_id", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce(1 - F.col("score") > MARGIN * F.col("radius"), F.lit(True)).alias("rejected"))
 
 
 def held_out() -> Column:
@@ -250,5 +272,5 @@ def identify(docs: DataFrame) -> DataFrame:
     Returns doc_id, held_out, lang_pred, score, rejected. Null lang: not learned from. Repeated
     rows are predicted each. An empty table gives no rows.
     """
-    model = train(docs.filter(~held_out()).select("text", "lang"))
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    idf, centroids = train(docs.filter(~held_out()).select("text", "lang"))
+    return predict(docs, idf, centroids).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
