@@ -128,3 +128,52 @@ def test_count_jobs(spark, docs):
     for r in out:
         assert r.text == want[r.doc_id] and r.n_tokens == len(whole.encode_ordinary(want[r.doc_id]))
     assert token_counts.build_trees(docs.limit(0), MAKE).count() == 0
+
+
+def test_registered_queries_equal_the_libraries(spark, docs):
+    """op2, op3 and op4 over a whole table, document by document."""
+    import zlib
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from askgrid.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in docs.collect()}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    got = QUERIES["op2_sentencepiece"](spark, folder).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = rows[r.doc_id].text or ""
+        assert list(r.ids) == pieces.encode(text) and r.n_pieces == len(r.ids)
+        assert r.round_trip == (pieces.decode(list(r.ids)) == text.replace("▁", " "))
+
+    whole = encoding()
+    for r in QUERIES["op3_token_counts"](spark, folder).collect():
+        d = rows[r.doc_id]
+        text = before = d.text or ""
+        n = len(before)
+        for start, length, new in ((0, 0, f"{d.source}: "), (n // 2, 0, before[:min(n // 5, 200)]), (n * 2 // 3, min(n // 10, 37), ""),
+                                   (2 * n + 100, 0, f"\n({d.lang})")):
+            text = text[:start] + new + text[start + length:]
+        assert (r.n_tokens, r.root_tokens, r.n_chars) == (len(whole.encode_ordinary(text)),) * 2 + (len(text),)
+
+    words, sequences, parts = Tokenizer.from_file(public.path("word_bpe_49k.json")), {}, {}
+    for p in QUERIES["op4_packing"](spark, folder).collect():
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        parts.setdefault(p.doc_id, []).append(p)
+    assert set(parts) == set(rows)
+    for i, held in parts.items():
+        ids = np.array([*words.encode(rows[i].text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        at = 0
+        for p in sorted(held, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids) // 4 and p.ids_crc32 == zlib.crc32(ids[4 * at:4 * (at + p.length)])
+            at += p.length
+        assert at == len(ids) // 4
+    for held in sequences.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
