@@ -269,3 +269,19 @@ def test_broadcast_needs_few_rows_and_few_bytes(spark):
     assert sizing.fits_broadcast(df) and not sizing.fits_broadcast(df, max_rows=99)
     assert not sizing.fits_broadcast(df, max_bytes=50_000)
     assert sizing.fits_broadcast(df.limit(0))
+
+
+def test_postings_are_counted_in_rows_of_bounded_partitions(spark, monkeypatch):
+    """Counts hold no table of a task's terms, and a task gets some bytes of text however many there are."""
+    docs = [(i, " ".join(f"w{(i * j) % 7} X{j}" for j in range(9)) if i % 5 else None if i % 2 else " the ") for i in range(40)]
+    nodes = spark.createDataFrame(docs, "node_id long, text string")
+    want = {(i, len(t.split()), w, n) for i, t in docs if t and t.strip() != "the" for w, n in Counter(t.lower().split()).items()}
+    monkeypatch.setattr(lexical, "PART_BYTES", 100)
+    got = lexical.term_postings(nodes)
+    assert {(r.node_id, r.dl, r.term, r.tf) for r in got.collect()} == want
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.rdd.getNumPartitions() >= sum(len(t or "") for _, t in docs) // 100
+    stems = lexical.term_postings(nodes, stemmed=True)
+    assert stems.rdd.getNumPartitions() >= sum(len(t or "") for _, t in docs) // 100
+    twice = lexical.term_postings(nodes.unionByName(nodes)).collect()  # rows of one id are counted together
+    assert sorted((r.node_id, r.dl, r.term, r.tf) for r in twice) == sorted((i, dl, w, 2 * n) for i, dl, w, n in want)
