@@ -149,3 +149,18 @@ def test_same_item_in_many_groups(spark):
         [(1, "a", 2), (1, "b", 1), (1, "c", 1), (2, "a", 1), (3, "a", 1), (3, "b", 2)], "q int, ord string, item_id long")
     got = dedup.greedy_dedup(rows, items, ["q"], "ord")
     assert {(r.q, r.ord) for r in got.filter("kept").collect()} == {(1, "a"), (2, "a"), (3, "a")}
+
+
+def test_words_of_the_items_are_cut_once(spark, monkeypatch):
+    """Rounds and the search for partners read the word sets instead of cutting all texts again."""
+    cuts, cut = [], dedup.token_set
+    monkeypatch.setattr(dedup, "token_set", lambda *a: cuts.append(1) or cut(*a))
+    monkeypatch.setattr(dedup, "FEW_ROWS", 2)
+    monkeypatch.setattr(dedup, "WALK_ROWS", 0)
+    rows = sample(11, 120)
+    _, df = run(spark, rows)
+    cuts.clear()
+    got = dedup.duplicate_pairs(df.select("g", "ord", "item_id"), df.select("item_id", "text"), ["g"], "ord")
+    want = {(g, o): p for (g, o), p in greedy(rows).items() if p is not None}
+    assert {(r.g, r.dup_item): r.kept_item for r in got.collect()} == want
+    assert len(cuts) == 1
