@@ -155,11 +155,9 @@ def test_words_of_the_items_are_cut_once(spark, monkeypatch):
     """Rounds and the search for partners read the word sets instead of cutting all texts again."""
     cuts, cut = [], dedup.token_set
     monkeypatch.setattr(dedup, "token_set", lambda *a: cuts.append(1) or cut(*a))
-    monkeypatch.setattr(dedup, "FEW_ROWS", 2)
     monkeypatch.setattr(dedup, "WALK_ROWS", 0)
-    rows = sample(11, 120)
-    _, df = run(spark, rows)
-    cuts.clear()
+    rows = [r for r in sample(11, 40) if r[0] == "a"]
+    df = spark.createDataFrame([(g, o, o, t) for g, o, t in rows], "g string, ord long, item_id long, text string")
     got = dedup.duplicate_pairs(df.select("g", "ord", "item_id"), df.select("item_id", "text"), ["g"], "ord")
     want = {(g, o): p for (g, o), p in greedy(rows).items() if p is not None}
     assert {(r.g, r.dup_item): r.kept_item for r in got.collect()} == want
