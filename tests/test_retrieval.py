@@ -285,3 +285,31 @@ def test_postings_are_counted_in_rows_of_bounded_partitions(spark, monkeypatch):
     assert stems.rdd.getNumPartitions() >= sum(len(t or "") for _, t in docs) // 100
     twice = lexical.term_postings(nodes.unionByName(nodes)).collect()  # rows of one id are counted together
     assert sorted((r.node_id, r.dl, r.term, r.tf) for r in twice) == sorted((i, dl, w, 2 * n) for i, dl, w, n in want)
+
+
+ODD_TEXTS = [None, "", " .,; ", "the and of", "É ÉTÉ été İstanbul ΣΑΣ straße", "a_b a-b a.b 1st 2² ½ x" * 3, "日本 語 日本", "é 🙂 𝔘 𐐀"]
+
+
+def test_a_node_is_one_row_of_the_term_table(spark, monkeypatch):
+    """Counts made row by row are those of the exploded table, and its searches the same in blocks and passes."""
+    rng = np.random.default_rng(11)
+    docs = [(i, t) for i, t in enumerate(ODD_TEXTS)]
+    docs += [(100 + i, " ".join(map(str, rng.choice([f"w{j}" for j in range(40)], int(rng.integers(1, 30)))))) for i in range(300)]
+    docs += [(1000 + i, docs[20][1]) for i in range(40)]  # ties go by id
+    nodes = spark.createDataFrame(docs, "node_id long, text string").repartition(3)
+    monkeypatch.setattr(lexical, "COUNT_BYTES", 500)
+    index = lexical.build_lexical_index(nodes)
+    assert index.bags.groupBy("node_id").count().filter("count > 1").isEmpty()
+    want = sorted(map(tuple, lexical.term_postings(nodes).collect()))
+    assert sorted(map(tuple, index.postings.collect())) == want and index.n_postings == len(want)
+    texts = [" ".join(map(str, rng.choice([f"w{j}" for j in range(45)], 8))) for _ in range(20)] + [docs[20][1], "été 日本", "unknown", None]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    plain = lexical.LexicalIndex(lexical.term_postings(nodes).persist(), index.n_nodes, index.avg_len, index.terms)
+    want = sorted(map(tuple, lexical.bm25_topk(plain, queries, 4, steps=False).collect()))
+    assert sorted(map(tuple, lexical.bm25_topk(index, queries, 4, steps=False).collect())) == want
+    for name, most in (("MAX_SCORES", 60), ("MAX_PARTS", 90), ("MAX_QUERY_TERMS", 20)):
+        monkeypatch.setattr(lexical, name, most)
+    assert sorted(map(tuple, lexical.bm25_topk(index, queries, 4, steps=False).collect())) == want
+    both = [dense.hashed_vectors(index.postings), dense.hashed_bags(index.bags)]
+    one, other = [{r.node_id: {a: round(x, 9) for a, x in zip(r.vector.at, r.vector.x)} for r in v.collect()} for v in both]
+    assert one == other
