@@ -34,7 +34,7 @@ def rag_answer(lexical: LexicalIndex, nodes: DataFrame, questions: DataFrame, us
     if not use_reranker:
         scored = found
     elif score is None:
-        scored = cosine_scores(found, questions, lexical.postings, stemmed=lexical.stemmed)
+        scored = cosine_scores(found, questions, lexical, stemmed=lexical.stemmed)
     else:
         asked = join_docstore(found, nodes).join(questions.select("question_idx", "question"), "question_idx")
         scored = score_with(asked, score).select("question_idx", "node_id", "idx", "score")

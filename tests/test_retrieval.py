@@ -297,7 +297,7 @@ def test_a_node_is_one_row_of_the_term_table(spark, monkeypatch):
     docs += [(100 + i, " ".join(map(str, rng.choice([f"w{j}" for j in range(40)], int(rng.integers(1, 30)))))) for i in range(300)]
     docs += [(1000 + i, docs[20][1]) for i in range(40)]  # ties go by id
     nodes = spark.createDataFrame(docs, "node_id long, text string").repartition(3)
-    monkeypatch.setattr(lexical, "COUNT_BYTES", 500)
+    monkeypatch.setattr(lexical, "BLOCK_BYTES", 500)
     index = lexical.build_lexical_index(nodes)
     assert index.bags.groupBy("node_id").count().filter("count > 1").isEmpty()
     want = sorted(map(tuple, lexical.term_postings(nodes).collect()))
@@ -313,3 +313,43 @@ def test_a_node_is_one_row_of_the_term_table(spark, monkeypatch):
     both = [dense.hashed_vectors(index.postings), dense.hashed_bags(index.bags)]
     one, other = [{r.node_id: {a: round(x, 9) for a, x in zip(r.vector.at, r.vector.x)} for r in v.collect()} for v in both]
     assert one == other
+
+
+def test_chunks_are_those_of_plain_windows(spark, monkeypatch):
+    """Ids with separators, null ids and texts, white space of every kind, and blocks of few bytes."""
+    monkeypatch.setattr(chunking, "BLOCK_BYTES", 50)
+    docs = [("a/b", "x\u00a0y\u2003z\x1cq\x85r s\t\nt", 1), ("c", None, None), (None, "p q", 3), ("d", "", 4), ("e", " ".join(map(str, range(60))), 5)]
+    got = chunking.chunk_hierarchical(spark.createDataFrame(docs, "doc_id string, text string, extra int"), (7, 3), 1, keep=("extra",))
+    assert got.columns == ["node_id", "doc_id", "level", "parent_id", "seq", "n_siblings", "text", "extra"]
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for doc, text, extra in docs:
+        words = None if text is None else text.split()
+        cut = lambda w, size: [None] if w is None else [w[i:i + size] for i in range(0, max(1, len(w) - 1), size - 1)]
+        tops = cut(words, 7)
+        for i, top in enumerate(tops):
+            name = "/".join([*([doc.replace("/", "//")] if doc is not None else []), str(i)])
+            line = lambda w: None if w is None else " ".join(w)
+            want.append((name, doc, 0, None, i, len(tops), line(top), extra))
+            low = cut(top, 3)
+            want += [(f"{name}/{j}", doc, 1, name, j, len(low), line(w), extra) for j, w in enumerate(low)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_an_index_holds_no_term_table_in_memory(spark):
+    """Also where some rows come twice; their counts are added up as before."""
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    nodes = tables(spark, [])[0]
+    before = held()
+    lexical.build_lexical_index(nodes)
+    twice = lexical.build_lexical_index(nodes.unionByName(nodes.filter("node_id < 3")))
+    assert held() == before
+    want = lexical.term_postings(nodes.unionByName(nodes.filter("node_id < 3"))).select(twice.postings.columns)
+    assert sorted(map(tuple, twice.postings.collect())) == sorted(map(tuple, want.collect()))
+    assert twice.n_nodes == 7 and twice.avg_len * 7 == want.agg(F.sum("tf")).first()[0]
+    plain = lexical.LexicalIndex(want, twice.n_nodes, twice.avg_len, lexical.term_table(want))
+    words = spark.createDataFrame([("policy",), ("backups",), ("none",)], "term string")
+    assert sorted(map(tuple, twice.facts(words).collect())) == sorted(map(tuple, plain.facts(words).collect()))
+    wanted = spark.createDataFrame([(1,), (5,)], "node_id long")
+    assert {tuple(r) for r in twice.of_nodes(wanted).select("node_id", "term", "tf").collect()} == {
+        tuple(r) for r in plain.of_nodes(wanted).select("node_id", "term", "tf").collect()}
