@@ -353,3 +353,18 @@ def test_an_index_holds_no_term_table_in_memory(spark):
     wanted = spark.createDataFrame([(1,), (5,)], "node_id long")
     assert {tuple(r) for r in twice.of_nodes(wanted).select("node_id", "term", "tf").collect()} == {
         tuple(r) for r in plain.of_nodes(wanted).select("node_id", "term", "tf").collect()}
+
+
+def test_hits_without_parents_are_searched_once(spark):
+    """The parents of hits, and their children, are looked up without a second search."""
+    searched = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            searched.add(batch.num_rows)
+            yield batch
+
+    hits = spark.createDataFrame([(1, 20, 0.1), (1, 21, 0.3), (2, 11, 0.7), (2, 2, 0.5)], "query_id long, node_id long, dist double")
+    got = merging.merge_ratio(hits.mapInArrow(seen, hits.schema), tree(spark)).collect()
+    assert {(r.query_id, r.parent_id, r.n_hit, r.n_children) for r in got} == {(1, 2, 2, 10), (2, 1, 1, 1)}
+    assert searched.value == 4
