@@ -368,3 +368,11 @@ def test_hits_without_parents_are_searched_once(spark):
     got = merging.merge_ratio(hits.mapInArrow(seen, hits.schema), tree(spark)).collect()
     assert {(r.query_id, r.parent_id, r.n_hit, r.n_children) for r in got} == {(1, 2, 2, 10), (2, 1, 1, 1)}
     assert searched.value == 4
+
+
+def test_candidates_of_subqueries_come_from_rows_per_node(spark):
+    """The plan of a search reads one row per node, never the rows per term."""
+    nodes, queries = tables(spark, ["password policy", "backups"])
+    index = lexical.build_lexical_index(nodes)
+    for plan in (lexical.bm25_topk(index, queries), index.facts(queries.select("text").withColumnRenamed("text", "term"))):
+        assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
