@@ -376,3 +376,42 @@ def test_candidates_of_subqueries_come_from_rows_per_node(spark):
     index = lexical.build_lexical_index(nodes)
     for plan in (lexical.bm25_topk(index, queries), index.facts(queries.select("text").withColumnRenamed("text", "term"))):
         assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_read_once_into_nodes_and_their_terms(spark, monkeypatch):
+    """An index of distinct documents cuts, counts and hashes in one pass, which gives what the steps give one by one;
+    the facts of the same words are looked up once."""
+    from askgrid.plans import index as plan
+
+    rng = np.random.default_rng(5)
+    docs = [*enumerate([*ODD_TEXTS, "ĀĂ Žluťoučký kůň ŸŒ\u0149\u00a0\u00b5\u0085x \u0130I\u017f K\u212a Ǆ ΑΣ ΑΣα", "-" * 30, "\x01a\x01b \x1cc"])]
+    docs += [(100 + i, " ".join(map(str, rng.choice([f"w{j}, É{j}." for j in range(40)], int(rng.integers(1, 90)))))) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    cut = chunking.chunk_hierarchical(frame, (30, 9), 2)
+    bags = {r.node_id: (r.dl, dict(zip(r.words.split(), r.tfs))) for r in lexical.bag_rows(cut).collect()}
+    vectors = {r.node_id: dict(zip(r.vector.at, r.vector.x)) for r in dense.hashed_bags(lexical.bag_rows(cut.filter("level = 1"))).collect()}
+    steps = lexical.build_lexical_index(cut, keep=plan.TREE)
+    queries = spark.createDataFrame([(0, "w1 É7 kůň"), (1, "w3 w3 w9"), (2, "ασ x"), (3, "none"), (4, None)], "query_id int, text string")
+    want = sorted(map(tuple, lexical.bm25_topk(steps, queries, 4).collect()))
+
+    for name, value in (("BLOCK_BYTES", 300), ("BLOCK_WORDS", 40)):
+        monkeypatch.setattr(chunking, name, value)
+    monkeypatch.setattr(lexical, "FACT_RUNS", 2)
+    monkeypatch.setattr(lexical, "BAG_ROWS", 3)
+    monkeypatch.setattr(dense, "VECTOR_ROWS", 2)
+    monkeypatch.setattr(lexical, "bag_rows", lambda *a: pytest.fail("a second pass over the texts"))
+    calls, count = [], lexical._count_facts
+    monkeypatch.setattr(lexical, "_count_facts", lambda *a: calls.append(a) or count(*a))
+    built = plan.build_index(frame, (30, 9), 2)
+    assert sorted(map(tuple, built.nodes.collect()), key=str) == sorted(map(tuple, cut.collect()), key=str)
+    assert {r.node_id: (r.dl, dict(zip(r.words.split(), r.tfs))) for r in built.lexical.bags.collect()} == bags
+    assert {r.node_id: dict(zip(r.vector.at, r.vector.x)) for r in built.vectors.collect()} == vectors
+    assert (built.lexical.n_postings, built.lexical.n_nodes, built.lexical.avg_len) == (steps.n_postings, steps.n_nodes, steps.avg_len)
+    models.keyword_subqueries(built.lexical, queries.withColumnsRenamed({"query_id": "question_idx", "text": "question"})).collect()
+    assert sorted(map(tuple, lexical.bm25_topk(built.lexical, queries, 4).collect())) == want and len(calls) == 1
+    some = spark.createDataFrame([(n,) for n in list(bags)[:5]], "node_id string")
+    assert {(r.node_id, r.term): r.tf for r in built.lexical.of_nodes(some).collect()} == {
+        (n, w): c for n in list(bags)[:5] for w, c in bags[n][1].items()}
+    asked = built.query_vectors(queries)
+    got = [sorted(map(tuple, dense.knn_l2(v, asked, 3, ("parent_id",)).collect())) for v in (built.searched, built.vectors)]
+    assert got[0] == got[1] and len(got[0]) == 12
