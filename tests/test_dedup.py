@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from askgrid.operators import dedup, sizing
+from askgrid.operators import dedup, metrics, sizing
 
 
 def greedy(rows, t=0.95):
@@ -162,3 +162,49 @@ def test_words_of_the_items_are_cut_once(spark, monkeypatch):
     want = {(g, o): p for (g, o), p in greedy(rows).items() if p is not None}
     assert {(r.g, r.dup_item): r.kept_item for r in got.collect()} == want
     assert len(cuts) == 1
+
+
+def jobs_of(spark, name, call):
+    """The result of a call and the Spark jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return call(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def clusters(n_clusters, copies):
+    """Near copies of some texts, each with one word exchanged, dealt in turn."""
+    return [("all", i, " ".join([f"c{i % n_clusters}w{k}" for k in range(60) if k != i // n_clusters % 60] + [f"n{i}"]))
+            for i in range(n_clusters * copies)]
+
+
+@pytest.mark.parametrize("rows,words,pairs", [(4096, 4_000_000, 100_000), (4096, 4_000_000, 3), (30, 4_000_000, 100_000), (4096, 900, 5), (0, 0, 1)])
+def test_components_walked_whole_or_thinned_out(spark, monkeypatch, rows, words, pairs):
+    """All components in tasks, the small ones only, or none: same rows kept, same partners."""
+    monkeypatch.setattr(dedup, "COMPONENT_ROWS", rows)
+    monkeypatch.setattr(dedup, "COMPONENT_WORDS", words)
+    monkeypatch.setattr(dedup, "WALK_PAIRS", pairs)
+    monkeypatch.setattr(dedup, "WALK_ROWS", 0)
+    data = sample(21, 160) + [("c" + g, 1000 + o, t) for g, o, t in clusters(2, 40)]
+    got, df = run(spark, data)
+    plain = greedy(data)
+    assert {(r.g, r.ord): r.kept for r in got.collect()} == {k: v is None for k, v in plain.items()}
+    found = dedup.duplicate_pairs(df.select("g", "ord", "item_id"), df.select("item_id", "text"), ["g"], "ord").collect()
+    assert {(r.g, r.dup_item): r.kept_item for r in found} == {k: p for k, p in plain.items() if p is not None}
+    sets = {(g, o): set(t.lower().split()) for g, o, t in data}
+    for r in found:
+        a, b = sets[r.g, r.dup_item], sets[r.g, r.kept_item]
+        assert abs(r.similarity - len(a & b) / len(a | b)) < 1e-6
+
+
+def test_counts_of_chains_take_few_jobs(spark, monkeypatch):
+    """Chains of near copies and large clusters are settled in one walk, not in rounds of jobs."""
+    monkeypatch.setattr(dedup, "WALK_ROWS", 0)
+    chains = [("all", 10_000 + i, words(range(i // 3, i // 3 + 40)) + f" q{i}") for i in range(300)]
+    df = spark.createDataFrame([(g, o, t) for g, o, t in chains + clusters(3, 150)], "g string, ord long, text string")
+    rows, items = df.select("g", "ord", df.ord.alias("item_id")), df.select(df.ord.alias("item_id"), "text")
+    got, jobs = jobs_of(spark, "counts", lambda: metrics.dedup_counts(dedup.greedy_dedup(rows, items, ["g"], "ord"), ["g"]).collect())
+    plain = greedy(chains + clusters(3, 150))
+    assert [(r.g, r.n_before, r.n_after) for r in got] == [("all", 750, sum(p is None for p in plain.values()))]
+    assert jobs <= 80

@@ -1,7 +1,11 @@
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from askgrid.functions import text as tx
 from askgrid.functions.stem import stem_table
+from askgrid.functions.words import distinct_word_hashes
 from plain_porter import porter_stem
 
 
@@ -101,3 +105,19 @@ def test_stems_equal_the_paper_word_by_word(spark):
     got = stem_table(spark.createDataFrame([(w,) for w in words], "term string"))
     assert {r.term: r.stem for r in got.collect()} == {w: porter_stem(w) for w in words}
     assert got.count() == len(words)
+
+
+def test_word_hashes_are_of_the_words_split_finds():
+    """Every white space character, words of all lengths, nulls, and texts of a slice."""
+    vocab = ["a", "b", "é", "x" * 8, "x" * 9, "y" * 16, "y" * 17, "z" * 64, "z" * 65, "z" * 200, "’", "​", "a\0", "a\0\0", "日本"]
+    spaces = [" ", "\t", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ", " ", " ", "　"]
+    rnd = random.Random(2)
+    texts = ["", None, "　", "a"] + [
+        "".join(rnd.choice(vocab) + rnd.choice(spaces) * rnd.randrange(3) for _ in range(rnd.randrange(30))) for _ in range(300)]
+    for column in (pa.array(texts), pa.array(texts).slice(2, 100), pa.array([], pa.string())):
+        hashes, begins = distinct_word_hashes(column)
+        known = {}
+        for text, a, b in zip(column.to_pylist(), begins, begins[1:]):
+            known.setdefault(frozenset((text or "").split()), set()).add(tuple(hashes[a:b].tolist()))
+        assert all(len(found) == 1 and len(next(iter(found))) == len(words) for words, found in known.items())
+        assert len({next(iter(found)) for found in known.values()}) == len(known)
