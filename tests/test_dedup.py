@@ -208,3 +208,17 @@ def test_counts_of_chains_take_few_jobs(spark, monkeypatch):
     plain = greedy(chains + clusters(3, 150))
     assert [(r.g, r.n_before, r.n_after) for r in got] == [("all", 750, sum(p is None for p in plain.values()))]
     assert jobs <= 80
+
+
+def test_only_texts_of_rivals_are_cut(spark, monkeypatch):
+    """No table of all words is written, and only rows that share a block are walked."""
+    monkeypatch.setattr(dedup, "WALK_ROWS", 0)
+    stored, walked, walk = [], [], getattr(dedup, "_walk_near", None)
+    monkeypatch.setattr(dedup, "word_sets", lambda items, store=dedup.word_sets: stored.append(items.count()) or store(items))
+    monkeypatch.setattr(dedup, "_walk_near", lambda near, *a: walked.append(near.count()) or walk(near, *a), raising=False)
+    alone = [("all", 1000 + i, words(range(1000 * (i + 1), 1000 * (i + 1) + 30))) for i in range(200)]
+    copies = [("all", 2000 + i, alone[i][2].upper()) for i in range(50)]
+    got, _ = run(spark, alone + copies + clusters(4, 5))
+    plain = greedy(alone + copies + clusters(4, 5))
+    assert {(r.g, r.ord) for r in got.filter("kept").collect()} == {k for k, p in plain.items() if p is None}
+    assert stored == [] and walked == [20]
