@@ -222,3 +222,17 @@ def test_only_texts_of_rivals_are_cut(spark, monkeypatch):
     plain = greedy(alone + copies + clusters(4, 5))
     assert {(r.g, r.ord) for r in got.filter("kept").collect()} == {k for k, p in plain.items() if p is None}
     assert stored == [] and walked == [20]
+
+
+def test_partners_come_from_the_walk(spark, monkeypatch):
+    """Dropped rows meet their first kept partner in the walk: no pairs are joined with words. Similarities
+    are rounded as by Spark, half up."""
+    calls, compare = [], dedup._compare
+    monkeypatch.setattr(dedup, "_compare", lambda *a: calls.append(1) or compare(*a))
+    rows = clusters(3, 30) + [("all", 500, words(range(125))), ("all", 501, words(range(125)) + " x y z"), ("all", 502, words(range(125)) + " z Y x")]
+    df = spark.createDataFrame([(g, o, t) for g, o, t in rows], "g string, ord long, text string")
+    got = dedup.duplicate_pairs(df.select("g", "ord", df.ord.alias("item_id")), df.select(df.ord.alias("item_id"), "text"), ["g"], "ord")
+    found = {r.dup_item: (r.kept_item, r.similarity) for r in got.collect()}
+    assert {k: p for k, (p, _) in found.items()} == {o: p for (_, o), p in greedy(rows).items() if p is not None}
+    assert found[501] == found[502] == (500, 0.976563)
+    assert calls == []
