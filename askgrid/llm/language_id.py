@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -148,7 +149,21 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.
     return c, np.argmax(x @ c.T, 1)
 
 
-def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> tuple[np.ndarray, DataFrame]:
+class Model(NamedTuple):
+    """What was learned: idf, and a stored table of the centroids of every language (lang, j, c, radius). By the
+    name of ``centroids`` or ``radius`` it gives those of all languages as one array, to look at a small model."""
+
+    idf: np.ndarray
+    centroids: DataFrame
+
+    def __getitem__(self, key):
+        if not isinstance(key, str):
+            return tuple.__getitem__(self, key)
+        column = {"centroids": "c", "radius": "radius"}[key]
+        return np.array([r[column] for r in self.centroids.orderBy("lang", "j").collect()])
+
+
+def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
     """Fit on rows (text, lang), nulls left out. Returns idf, and a stored table of the centroids of
     every language (lang, j, c, radius)."""
     rows = rows.filter("text is not null and lang is not null").select("text", "lang")
@@ -197,7 +212,7 @@ def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, centr
         return pd.DataFrame({"lang": group["lang"].iloc[0], "j": range(len(c)), "c": [v.tolist() for v in c],
                              "radius": [float(far[place == j].max(initial=0)) for j in range(len(c))]})
 
-    return idf, written(sample.groupBy("lang").applyInPandas(fit, "lang string, j int, c array<float>, radius double"), "centroids")
+    return Model(idf, written(sample.groupBy("lang").applyInPandas(fit, "lang string, j int, c array<float>, radius double"), "centroids"))
 
 
 def _nearest(idf: np.ndarray, rows: list):
